@@ -7,16 +7,20 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from streamlat.session import new_dir
 
+SHUFFLE_WIDTH = "spark.sql.shuffle.partitions"
+
 
 def start(spark: SparkSession, writer: DataStreamWriter, *, checkpoint: str | None = None,
           interval_ms: int | None = None, available_now: bool = False,
-          name: str | None = None) -> StreamingQuery:
+          state_partitions: int | None = None, name: str | None = None) -> StreamingQuery:
     """Start a stream that `sinks` prepared.
 
     With `checkpoint` a query that is started again goes on where it stopped. Without
     it the query gets a fresh folder, and a later run starts from the beginning.
     `interval_ms` is the micro-batch length; `available_now` processes what is there
-    and ends.
+    and ends. `state_partitions` is how many parts the windows' state is kept in, and is
+    fixed with the checkpoint; by default it is the session's shuffle width, which is a
+    lot of small tasks per batch for a state of two keys per window.
     """
     writer = writer.option("checkpointLocation", checkpoint or new_dir(spark, "checkpoint"))
     if name:
@@ -25,7 +29,15 @@ def start(spark: SparkSession, writer: DataStreamWriter, *, checkpoint: str | No
         writer = writer.trigger(availableNow=True)
     elif interval_ms is not None:
         writer = writer.trigger(processingTime=f"{interval_ms} milliseconds")
-    return writer.start()
+    if state_partitions is None:
+        return writer.start()
+    # A stream copies the session's settings when it starts.
+    width = spark.conf.get(SHUFFLE_WIDTH)
+    spark.conf.set(SHUFFLE_WIDTH, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(SHUFFLE_WIDTH, width)
 
 
 def replay(spark: SparkSession, writer: DataStreamWriter, **options) -> None:
