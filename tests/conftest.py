@@ -6,8 +6,9 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-# Python workers unpickle the package's classes by name.
-os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
+# Python workers unpickle classes of the package and of the tests by name.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH", "")])
 
 TABLES = os.environ.get("STREAMLAT_TEST_TABLES", "/root/testdata/sf0.001")
 

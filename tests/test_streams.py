@@ -1,0 +1,188 @@
+import os
+import time
+
+import pytest
+
+from streamlat.functions import clock
+from streamlat.operators import parity, records, windows
+from streamlat.plans.parity_windows import parity_mean, throughput, window_results
+from streamlat.plans.record_latency import record_latency
+from streamlat.session import new_dir, shared_dir
+from streamlat.sinks import files
+from streamlat.sources import load
+from streamlat.sources.files import text_lines
+from streamlat.streaming.clock_windows import clock_window_sums
+from streamlat.streaming.run import replay, start
+
+KEY = ("window_start_ms", "parity")
+T0 = 1_700_000_003_000  # not at the start of a ten-second window
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.fixture
+def pieces(spark, tmp_path):
+    """A load of 2,000 lines in four files, in order of time."""
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    steps = load.constant_steps(20_000_000)
+    lines = [r.line for r in load.load_lines(spark, 2_000, steps, T0).collect()]
+    lines.sort(key=lambda line: int(line.split(" ")[0]))
+    for i in range(4):
+        file = folder / f"{i}.txt"
+        file.write_text("\n".join(lines[i * 500:(i + 1) * 500]) + "\n")
+        os.utime(file, (1_600_000_000 + i, 1_600_000_000 + i))
+    return str(folder)
+
+
+def test_windows_over_several_batches_equal_the_table(spark, pieces):
+    out = new_dir(spark, "windows")
+    stream = throughput(text_lines(spark, pieces, streaming=True, max_files_per_trigger=1),
+                        now=clock.fixed(0))
+    replay(spark, files.to_window_table(stream, out))
+    want = throughput(text_lines(spark, pieces), now=clock.fixed(0))
+    # The ten-second windows lie across the files, so they were written more than once.
+    assert spark.read.parquet(out).count() > want.count()
+    assert rows(files.latest_windows(spark, out, *KEY).select(want.columns)) == rows(want)
+
+
+def test_appended_windows_are_the_closed_ones(spark, pieces):
+    out = new_dir(spark, "closed")
+    stream = parity_mean(text_lines(spark, pieces, streaming=True, max_files_per_trigger=1),
+                         lateness="0 seconds", now=clock.fixed(0))
+    replay(spark, files.to_table(stream, out), state_partitions=2)
+    want = parity_mean(text_lines(spark, pieces), now=clock.fixed(0))
+    last = T0 + 1_999 * 20
+    assert rows(spark.read.parquet(out)) == rows(want.where(f"window_start_ms + 2000 <= {last}"))
+
+
+def test_lateness_keeps_late_records(spark, tmp_path):
+    folder = tmp_path / "late"
+    folder.mkdir()
+    for i, text in enumerate(["1 1000\n", "1 5000\n", "1 1500\n", "1 90000\n"]):
+        (folder / f"{i}.txt").write_text(text)
+        os.utime(folder / f"{i}.txt", (1_600_000_000 + i, 1_600_000_000 + i))
+    out = new_dir(spark, "late")
+    stream = parity_mean(text_lines(spark, str(folder), streaming=True, max_files_per_trigger=1),
+                         lateness="10 seconds", now=clock.fixed(0))
+    replay(spark, files.to_table(stream, out), state_partitions=2)
+    assert {r.window_start_ms: r.n for r in spark.read.parquet(out).collect()} == {0: 2, 4000: 1}
+
+
+def test_a_restarted_stream_goes_on(spark, pieces, tmp_path):
+    out, checkpoint = new_dir(spark, "records"), new_dir(spark, "checkpoint")
+
+    def run():
+        stream = record_latency(text_lines(spark, pieces, streaming=True), now=clock.fixed(0))
+        replay(spark, files.to_table(stream, out), checkpoint=checkpoint)
+
+    run()
+    run()
+    assert spark.read.parquet(out).count() == 2_000
+    with open(f"{pieces}/4.txt", "w") as more:
+        more.write(f"2000 {T0 + 40_000}\n")
+    run()
+    assert spark.read.parquet(out).count() == 2_001
+
+
+def test_windows_survive_a_restart(spark, pieces):
+    out, checkpoint = new_dir(spark, "windows"), new_dir(spark, "checkpoint")
+
+    def run():
+        stream = parity_mean(text_lines(spark, pieces, streaming=True), width="1 hour",
+                             now=clock.fixed(0))
+        replay(spark, files.to_window_table(stream, out), checkpoint=checkpoint,
+               state_partitions=2)
+
+    run()
+    with open(f"{pieces}/4.txt", "w") as more:
+        more.write(f"2000 {T0 + 40_000}\n")
+    run()
+    got = files.latest_windows(spark, out, *KEY)
+    assert {r.parity: r.n for r in got.collect()} == {"odd": 1_000, "even": 1_001}
+
+
+def test_a_batch_run_again_counts_once(spark, tmp_path):
+    path = str(tmp_path / "windows")
+    first = spark.createDataFrame([(0, "odd", 1)], "window_start_ms bigint, parity string, n bigint")
+    later = spark.createDataFrame([(0, "odd", 3), (0, "even", 2)], first.schema)
+    first.write.parquet(f"{path}/batch_id=0")
+    for _ in range(2):
+        later.write.mode("overwrite").parquet(f"{path}/batch_id=1")
+    assert rows(files.latest_windows(spark, path, *KEY)) == [(0, "even", 2), (0, "odd", 3)]
+
+
+def test_several_writers_see_the_same_batch(spark, pieces, tmp_path):
+    def to(name):
+        return lambda batch, batch_id: batch.write.mode("overwrite").parquet(
+            str(tmp_path / name / f"batch_id={batch_id}"))
+
+    stream = record_latency(text_lines(spark, pieces, streaming=True, max_files_per_trigger=2))
+    replay(spark, files.to_each(stream, to("a"), to("b")))
+    a, b = (spark.read.parquet(str(tmp_path / name)) for name in "ab")
+    # The clock was read once: both have the same instants.
+    assert rows(a) == rows(b) and a.count() == 2_000
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_arrival_windows_count_every_record(spark, pieces):
+    out = new_dir(spark, "windows")
+    stream = parity_mean(text_lines(spark, pieces, streaming=True, max_files_per_trigger=1),
+                         time=windows.arrival_time(), lateness="0 seconds")
+    replay(spark, files.to_window_table(stream, out))
+    got = files.latest_windows(spark, out, *KEY).groupBy("parity").agg({"n": "sum"})
+    assert {r[0]: r[1] for r in got.collect()} == {"odd": 1_000, "even": 1_000}
+
+
+def test_rate_source(spark):
+    out = new_dir(spark, "rate")
+    stream = record_latency(load.rate_lines(spark, 100, partitions=2))
+    query = start(spark, files.to_table(stream, out), interval_ms=200, name="rate")
+    deadline = time.time() + 60
+    while sum(p.numInputRows for p in query.recentProgress) < 200 and time.time() < deadline:
+        time.sleep(0.2)
+    query.stop()
+    assert query.name == "rate"
+    got = spark.read.parquet(out)
+    seqs = sorted(r.seq for r in got.collect())
+    assert len(seqs) >= 100 and seqs == list(range(len(seqs)))
+    assert got.where("latency_ms < -1000 OR latency_ms <> processed_ms - created_ms").count() == 0
+
+
+def test_the_clock_closes_windows(spark, pieces):
+    """No record follows the last one, and its window still comes out."""
+    out = new_dir(spark, "clock")
+    sums = (text_lines(spark, pieces, streaming=True, max_files_per_trigger=2)
+            .transform(records.parse_lines).transform(records.with_digit_sum)
+            .transform(parity.with_parity)
+            .transform(clock_window_sums, 1_000, totals=("digit_sum",)))
+    query = start(spark, files.to_table(window_results(sums), out), interval_ms=200,
+                  state_partitions=2)
+    deadline = time.time() + 120
+    n = 0
+    while n < 2_000 and query.isActive and time.time() < deadline:
+        time.sleep(1)
+        if query.lastProgress and query.lastProgress.batchId > 0:
+            n = sum(r.n for r in spark.read.schema("n bigint").parquet(out).collect())
+    query.stop()
+    assert query.exception() is None
+    got = spark.read.parquet(out)
+    by_parity = {r[0]: tuple(map(int, r[1:])) for r in got.groupBy("parity").agg(
+        {"n": "sum", "sum_seq": "sum", "sum_created_ms": "sum", "sum_digit_sum": "sum"})
+        .select("parity", "sum(n)", "sum(sum_seq)", "sum(sum_created_ms)",
+                "sum(sum_digit_sum)").collect()}
+    want = {}
+    for r in text_lines(spark, pieces).collect():
+        seq, created = map(int, r.line.split(" "))
+        key = "odd" if seq % 2 else "even"
+        digits = sum(int(c) for c in r.line if c != " ")
+        want[key] = tuple(map(sum, zip(want.get(key, (0, 0, 0, 0)), (1, seq, created, digits))))
+    assert by_parity == want
+    assert got.where("window_start_ms % 1000 <> 0").count() == 0
+
+
+def test_the_shared_folder_is_the_session_s(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert new_dir(spark, "x") != new_dir(spark, "x")
