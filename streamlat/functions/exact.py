@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 PART_BITS = 21
 _MASK = (1 << PART_BITS) - 1
-SUM_TYPE = "decimal(38,0)"
 
 
 def div(a: Column, b: Column) -> Column:
@@ -21,27 +20,25 @@ def div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def parts(value: Column) -> tuple[Column, Column, Column]:
-    """High, middle and low part of a BIGINT."""
-    return (F.shiftright(value, 2 * PART_BITS),
-            F.shiftright(value, PART_BITS).bitwiseAND(_MASK),
-            value.bitwiseAND(_MASK))
+def parts_sql(value: str) -> tuple[str, str, str]:
+    """SQL for the high, middle and low part of a BIGINT column."""
+    return (f"shiftright({value}, {2 * PART_BITS})",
+            f"shiftright({value}, {PART_BITS}) & {_MASK}L",
+            f"{value} & {_MASK}L")
 
 
-def combine(high: Column, middle: Column, low: Column) -> Column:
-    """Three part sums to one DECIMAL(38,0)."""
-    def weighted(part: Column, shift: int) -> Column:
-        return part.cast("decimal(20,0)") * F.lit(str(1 << shift)).cast("decimal(13,0)")
+def combine(high: str, middle: str, low: str) -> Column:
+    """Three part sums, given as SQL, to one DECIMAL(38,0)."""
+    return F.expr(f"""CAST(CAST({high} AS DECIMAL(20,0)) * {1 << 2 * PART_BITS}BD
+                         + CAST({middle} AS DECIMAL(20,0)) * {1 << PART_BITS}BD
+                         + CAST({low} AS DECIMAL(20,0)) AS DECIMAL(38,0))""")
 
-    total = weighted(high, 2 * PART_BITS) + weighted(middle, PART_BITS) + weighted(low, 0)
-    return total.cast(SUM_TYPE)
 
-
-def exact_sum(value: Column) -> Column:
+def exact_sum(name: str) -> Column:
     """Aggregate: sum of a BIGINT column as DECIMAL(38,0)."""
-    return combine(*[F.sum(part) for part in parts(value)])
+    return combine(*[f"sum({part})" for part in parts_sql(name)])
 
 
-def integer_mean(total: Column, n: Column) -> Column:
-    """`total / n` cut to a whole number, as BIGINT."""
-    return div(total, n.cast("decimal(20,0)"))
+def integer_mean(total: str, n: str) -> Column:
+    """Column `total` by column `n`, cut to a whole number, as BIGINT."""
+    return F.expr(f"{total} div {n}")

@@ -66,11 +66,6 @@ def keep_fields(line: Column, n: int = 2) -> Column:
                       _fail(f"line has fewer than {n} fields", "string"))
 
 
-def fields_after(line: Column, n: int = 2) -> Column:
-    """What follows the first `n` fields, with its leading blank; empty for most lines."""
-    return F.substr(line, F.length(F.substring_index(line, " ", n)) + 1)
-
-
 def format_result(*fields: Column, newline: bool = False) -> Column:
     """Join fields with single blanks; `newline` ends the line for a socket."""
     line = F.concat_ws(" ", *[field.cast("string") for field in fields])

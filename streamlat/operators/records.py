@@ -20,13 +20,14 @@ def parse_lines(df: DataFrame, *, lenient: bool = False) -> DataFrame:
     records that do not parse; `rejected_lines` gives exactly those.
     """
     line = F.col("line")
-    parsed = df.withColumns({
-        "seq": lines.parse_seq(line, lenient=lenient),
-        "created_ms": lines.parse_created_ms(line, lenient=lenient),
-    })
-    if lenient:
-        return parsed.where(F.col("seq").isNotNull() & F.col("created_ms").isNotNull())
-    return parsed
+    seq = lines.parse_seq(line, lenient=lenient).alias("seq")
+    created_ms = lines.parse_created_ms(line, lenient=lenient).alias("created_ms")
+    if not lenient:
+        return df.select("*", seq, created_ms)
+    # A filter on plain columns would be pushed below them and parse each line again;
+    # it is not pushed below a generator.
+    parsed = df.select("*", F.inline(F.array(F.struct(seq, created_ms))))
+    return parsed.where(F.col("seq").isNotNull() & F.col("created_ms").isNotNull())
 
 
 def rejected_lines(df: DataFrame) -> DataFrame:
@@ -38,8 +39,7 @@ def rejected_lines(df: DataFrame) -> DataFrame:
 
 def append_digit_sum(df: DataFrame) -> DataFrame:
     """Append the digit sum of the whole line to it as a further field."""
-    line = F.col("line")
-    return df.withColumn("line", lines.format_result(line, digits.digit_sum(line)))
+    return df.withColumn("line", lines.format_result(F.col("line"), digits.digit_sum("line")))
 
 
 def cut_fields(df: DataFrame, n: int = 2) -> DataFrame:
@@ -49,8 +49,7 @@ def cut_fields(df: DataFrame, n: int = 2) -> DataFrame:
 
 def with_digit_sum(df: DataFrame) -> DataFrame:
     """Add `digit_sum` to parsed records, counting the whole line."""
-    return df.withColumn("digit_sum", digits.digit_sum_record(
-        F.col("line"), F.col("seq"), F.col("created_ms")))
+    return df.withColumn("digit_sum", digits.digit_sum_record("line", "seq", "created_ms"))
 
 
 def unit_count(df: DataFrame) -> DataFrame:

@@ -31,17 +31,18 @@ def window_sums(df: DataFrame, width: str, *, time: Column | None = None,
     Every task combines its rows per window and key before the one shuffle, so two keys
     with half of the rows each send a handful of rows per task and window.
     """
-    df = df.withColumn("event_time", created_time() if time is None else time)
+    time = created_time() if time is None else time
     if df.isStreaming and lateness is not None:
-        df = df.withWatermark("event_time", lateness)
-    window = F.window("event_time", width)
+        df = df.withColumn("event_time", time).withWatermark("event_time", lateness)
+        time = F.col("event_time")
+    window = F.window(time, width)
     # State is dropped by the window's end, so a stream groups by the whole window.
     # A table groups by its start, which is half as much to hash and compare.
     group = window if df.isStreaming else window["start"]
     grouped = df.groupBy(group.alias("w"), F.col(key)).agg(
         F.count(F.lit(1)).alias("n"),
-        exact_sum(F.col("seq")).alias("sum_seq"),
-        exact_sum(F.col("created_ms")).alias("sum_created_ms"),
+        exact_sum("seq").alias("sum_seq"),
+        exact_sum("created_ms").alias("sum_created_ms"),
         *[F.sum(name).alias(f"sum_{name}") for name in totals],
     )
     start = F.col("w.start") if df.isStreaming else F.col("w")
@@ -57,5 +58,4 @@ def partial_line(sums: DataFrame) -> DataFrame:
 
 def window_mean(sums: DataFrame) -> DataFrame:
     """Add the mean creation time, cut to whole milliseconds."""
-    return sums.withColumn(
-        "avg_created_ms", integer_mean(F.col("sum_created_ms"), F.col("n")))
+    return sums.withColumn("avg_created_ms", integer_mean("sum_created_ms", "n"))

@@ -129,7 +129,7 @@ def _(spark, directory):
           f"SELECT doc_id, {_DIGITS.format(text='text')} AS digit_sum FROM documents")
 def _(spark, directory):
     return tables.table(spark, directory, "documents").select(
-        "doc_id", digit_sum(F.col("text")).alias("digit_sum"))
+        "doc_id", digit_sum("text", sparse=True).alias("digit_sum"))
 
 
 @register("digit_sum_record", f"""
@@ -449,7 +449,7 @@ def _(spark, directory):
 
 
 def _stream(spark: SparkSession, directory: str) -> DataFrame:
-    return tables.event_lines(tables.event_stream(spark, directory))
+    return tables.event_lines(tables.table_stream(spark, directory, "events"))
 
 
 # Windows are written while they are open and wait for no later record, so nothing is

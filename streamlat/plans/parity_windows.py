@@ -13,8 +13,8 @@ from streamlat.operators.records import parse_lines, with_digit_sum
 from streamlat.operators.windows import window_mean, window_sums
 
 # The window widths.
-MEAN_WINDOW = "2 seconds"
-THROUGHPUT_WINDOW = "10 seconds"
+MEAN_WINDOW_S = 2
+THROUGHPUT_WINDOW_S = 10
 
 
 def window_results(sums: DataFrame, *, now: Column | None = None,
@@ -32,9 +32,9 @@ def window_results(sums: DataFrame, *, now: Column | None = None,
         newline=newline))
 
 
-def parity_mean(lines: DataFrame, *, width: str = MEAN_WINDOW, time: Column | None = None,
-                lateness: str | None = None, now: Column | None = None,
-                labels: Labels = MEAN_LABELS, newline: bool = False,
+def parity_mean(lines: DataFrame, *, width: str = f"{MEAN_WINDOW_S} seconds",
+                time: Column | None = None, lateness: str | None = None,
+                now: Column | None = None, labels: Labels = MEAN_LABELS, newline: bool = False,
                 lenient: bool = False) -> DataFrame:
     """Count and mean creation time of odd and of even records per tumbling window."""
     return (lines.transform(parse_lines, lenient=lenient)
@@ -43,8 +43,8 @@ def parity_mean(lines: DataFrame, *, width: str = MEAN_WINDOW, time: Column | No
                  .transform(window_results, now=now, newline=newline))
 
 
-def throughput(lines: DataFrame, *, width: str = THROUGHPUT_WINDOW, time: Column | None = None,
-               lateness: str | None = None, now: Column | None = None,
+def throughput(lines: DataFrame, *, width: str = f"{THROUGHPUT_WINDOW_S} seconds",
+               time: Column | None = None, lateness: str | None = None, now: Column | None = None,
                lenient: bool = False) -> DataFrame:
     """The windowed mean with a digit sum per record in front of it.
 

@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from streamlat.functions.lines import format_result
 
-EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
-                 "value DOUBLE, props STRING")
+# Columns the queries use. With the schema given, no file is opened to plan a query.
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, event_type STRING, props STRING",
+    "lineitem": "l_orderkey BIGINT, l_linenumber INT, l_shipdate TIMESTAMP_NTZ",
+    "documents": "doc_id BIGINT, text STRING",
+}
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    """A table of parquet files."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
-def event_stream(spark: SparkSession, directory: str) -> DataFrame:
-    """The events table as a stream of its files."""
+def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """The same as a stream of its files."""
     # The pattern matches a folder of files as well as a single file.
-    return spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{directory}/events.parquet*")
+    return spark.readStream.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet*")
 
 
 def epoch_ms(timestamp: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from streamlat.functions.exact import combine, parts
+from streamlat.functions.exact import combine, parts_sql
 
 PARTS = ("high", "middle", "low")
 
@@ -68,8 +68,8 @@ def clock_window_sums(df: DataFrame, width_ms: int, *,
             *[f"sum_{name}" for name in totals]]
     split = df.select(
         "parity", F.lit(1).cast("long").alias("n"),
-        *[value.alias(f"{field}_{part}") for field in ("seq", "created_ms")
-          for part, value in zip(PARTS, parts(F.col(field)))],
+        *[F.expr(value).alias(f"{field}_{part}") for field in ("seq", "created_ms")
+          for part, value in zip(PARTS, parts_sql(field))],
         *[F.col(name).cast("long").alias(f"sum_{name}") for name in totals])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def clock_window_sums(df: DataFrame, width_ms: int, *,
                                                outputMode="Append", timeMode="ProcessingTime"))
 
     def total(field: str):
-        return combine(*[F.col(f"{field}_{part}") for part in PARTS])
+        return combine(*[f"{field}_{part}" for part in PARTS])
 
     return closed.select(
         "window_start_ms", "parity", "n", total("seq").alias("sum_seq"),

@@ -4,20 +4,24 @@ Each function starts a stream and returns it; call `awaitTermination()` to block
 Delivery: a Kafka sink is at least once. A socket source loses what it had read when
 the driver is lost, and a socket sink repeats the rows of a retried task. Clocks of the
 machines that create, process and receive a record go into its latency.
+
+Windows are of arrival time. By default a window closes with the first batch after its
+end that has records; with `clock_fired` a timer closes it, records or not.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from streamlat.operators.parity import THROUGHPUT_LABELS, with_parity
+from streamlat.operators.records import parse_lines, with_digit_sum
 from streamlat.operators.windows import arrival_time
 from streamlat.plans.measured import port_results, topic_results
 from streamlat.plans.parity_windows import (
-    THROUGHPUT_LABELS, THROUGHPUT_WINDOW, parity_mean, throughput, window_results)
+    MEAN_WINDOW_S, THROUGHPUT_WINDOW_S, parity_mean, throughput, window_results)
 from streamlat.plans.record_latency import record_latency
-from streamlat.operators.parity import with_parity
-from streamlat.operators.records import parse_lines, with_digit_sum
 from streamlat.sinks.files import to_text_log
 from streamlat.sinks.kafka import RESULT_TOPIC, to_kafka
 from streamlat.sinks.socket import RESULT_HOST, RESULT_PORT, to_socket
@@ -26,25 +30,48 @@ from streamlat.sources.socket import LINE_HOST, LINE_PORT, socket_lines
 from streamlat.streaming.clock_windows import clock_window_sums
 from streamlat.streaming.run import start
 
-# A window of arrival times is complete as soon as the clock has passed its end.
+# Batches do not go back in time, so no record arrives after its window's end.
 NO_LATENESS = "0 seconds"
 
 
-def _mean(lines: DataFrame, clock_fired: bool, newline: bool = False) -> DataFrame:
+def mean_results(lines: DataFrame, *, clock_fired: bool = False,
+                 newline: bool = False) -> DataFrame:
+    """Windowed means of a stream by arrival."""
+    if not clock_fired:
+        return parity_mean(lines, time=arrival_time(), lateness=NO_LATENESS, newline=newline)
+    return (lines.transform(parse_lines).transform(with_parity)
+                 .transform(clock_window_sums, MEAN_WINDOW_S * 1000)
+                 .transform(window_results, newline=newline))
+
+
+def throughput_results(lines: DataFrame, *, clock_fired: bool = False) -> DataFrame:
+    """The throughput query on a stream by arrival.
+
+    A sink takes the text `result`, which has no digit sum in it. The metrics observed
+    under `throughput` in the query's progress do, so the load stays in the plan.
+    """
     if clock_fired:
-        return (lines.transform(parse_lines).transform(with_parity)
-                     .transform(clock_window_sums, 2_000)
-                     .transform(window_results, newline=newline))
-    return parity_mean(lines, time=arrival_time(), lateness=NO_LATENESS, newline=newline)
+        results = (lines.transform(parse_lines).transform(with_digit_sum)
+                        .transform(with_parity, THROUGHPUT_LABELS)
+                        .transform(clock_window_sums, THROUGHPUT_WINDOW_S * 1000,
+                                   totals=("digit_sum",))
+                        .transform(window_results))
+    else:
+        results = throughput(lines, time=arrival_time(), lateness=NO_LATENESS)
+    return results.observe("throughput", F.count(F.lit(1)).alias("windows"),
+                           F.sum("n").alias("records"),
+                           F.sum("sum_digit_sum").alias("digit_sum"))
 
 
 def record_latency_kafka(spark: SparkSession, *, servers: str, topics: str,
                          out_topic: str = RESULT_TOPIC, acks: str = "all",
+                         min_partitions: int | None = None, max_per_trigger: int | None = None,
                          checkpoint: str | None = None,
                          interval_ms: int | None = None) -> StreamingQuery:
     """Latency of every record of the topics."""
-    results = record_latency(kafka_lines(spark, servers, topics))
-    return start(spark, to_kafka(results, servers, out_topic, acks=acks),
+    lines = kafka_lines(spark, servers, topics, min_partitions=min_partitions,
+                        max_per_trigger=max_per_trigger)
+    return start(spark, to_kafka(record_latency(lines), servers, out_topic, acks=acks),
                  checkpoint=checkpoint, interval_ms=interval_ms)
 
 
@@ -53,57 +80,57 @@ def record_latency_port(spark: SparkSession, *, host: str = LINE_HOST, port: int
                         partitions: int | None = None, checkpoint: str | None = None,
                         interval_ms: int | None = None) -> StreamingQuery:
     """Latency of every record of a line server."""
-    results = record_latency(socket_lines(spark, host, port, partitions=partitions), newline=True)
-    return start(spark, to_socket(results, out_host, out_port),
+    lines = socket_lines(spark, host, port, partitions=partitions)
+    return start(spark, to_socket(record_latency(lines, newline=True), out_host, out_port),
                  checkpoint=checkpoint, interval_ms=interval_ms)
 
 
 def parity_mean_kafka(spark: SparkSession, *, servers: str, topics: str,
                       out_topic: str = RESULT_TOPIC, acks: str = "all",
-                      clock_fired: bool = False, checkpoint: str | None = None,
+                      min_partitions: int | None = None, max_per_trigger: int | None = None,
+                      clock_fired: bool = False, state_partitions: int | None = None,
+                      checkpoint: str | None = None,
                       interval_ms: int | None = None) -> StreamingQuery:
-    """Windowed means of the topics. `clock_fired` closes windows without further records."""
-    results = _mean(kafka_lines(spark, servers, topics), clock_fired)
-    return start(spark, to_kafka(results, servers, out_topic, acks=acks),
-                 checkpoint=checkpoint, interval_ms=interval_ms)
+    """Windowed means of the topics."""
+    lines = kafka_lines(spark, servers, topics, min_partitions=min_partitions,
+                        max_per_trigger=max_per_trigger)
+    results = mean_results(lines, clock_fired=clock_fired)
+    return start(spark, to_kafka(results, servers, out_topic, acks=acks), checkpoint=checkpoint,
+                 interval_ms=interval_ms, state_partitions=state_partitions)
 
 
 def parity_mean_port(spark: SparkSession, *, host: str = LINE_HOST, port: int = LINE_PORT,
                      out_host: str = RESULT_HOST, out_port: int = RESULT_PORT,
                      partitions: int | None = None, clock_fired: bool = False,
-                     checkpoint: str | None = None,
+                     state_partitions: int | None = None, checkpoint: str | None = None,
                      interval_ms: int | None = None) -> StreamingQuery:
     """Windowed means of a line server."""
     lines = socket_lines(spark, host, port, partitions=partitions)
-    return start(spark, to_socket(_mean(lines, clock_fired, newline=True), out_host, out_port),
-                 checkpoint=checkpoint, interval_ms=interval_ms)
+    results = mean_results(lines, clock_fired=clock_fired, newline=True)
+    return start(spark, to_socket(results, out_host, out_port), checkpoint=checkpoint,
+                 interval_ms=interval_ms, state_partitions=state_partitions)
 
 
 def throughput_kafka(spark: SparkSession, *, servers: str, topics: str,
                      out_topic: str = RESULT_TOPIC, acks: str = "all",
-                     clock_fired: bool = False, checkpoint: str | None = None,
+                     min_partitions: int | None = None, max_per_trigger: int | None = None,
+                     clock_fired: bool = False, state_partitions: int | None = None,
+                     checkpoint: str | None = None,
                      interval_ms: int | None = None) -> StreamingQuery:
     """Throughput of the topics: windows of ten seconds behind a load per record."""
-    lines = kafka_lines(spark, servers, topics)
-    if clock_fired:
-        results = (lines.transform(parse_lines).transform(with_digit_sum)
-                        .transform(with_parity, THROUGHPUT_LABELS)
-                        .transform(clock_window_sums, 10_000, totals=("digit_sum",))
-                        .transform(window_results))
-    else:
-        results = throughput(lines, width=THROUGHPUT_WINDOW, time=arrival_time(),
-                             lateness=NO_LATENESS)
-    return start(spark, to_kafka(results, servers, out_topic, acks=acks),
-                 checkpoint=checkpoint, interval_ms=interval_ms)
+    lines = kafka_lines(spark, servers, topics, min_partitions=min_partitions,
+                        max_per_trigger=max_per_trigger)
+    results = throughput_results(lines, clock_fired=clock_fired)
+    return start(spark, to_kafka(results, servers, out_topic, acks=acks), checkpoint=checkpoint,
+                 interval_ms=interval_ms, state_partitions=state_partitions)
 
 
 def measure_topic(spark: SparkSession, *, servers: str, path: str, topic: str = RESULT_TOPIC,
-                  checkpoint: str | None = None, interval_ms: int | None = None,
-                  lines_per_flush: int | None = None) -> StreamingQuery:
+                  lines_per_flush: int | None = None, checkpoint: str | None = None,
+                  interval_ms: int | None = None) -> StreamingQuery:
     """Log the result lines of a topic with the broker's latency."""
-    results = topic_results(kafka_results(spark, servers, topic,
-                                          max_per_trigger=lines_per_flush))
-    return start(spark, to_text_log(results, path, "measured"),
+    lines = kafka_results(spark, servers, topic, max_per_trigger=lines_per_flush)
+    return start(spark, to_text_log(topic_results(lines), path, "measured"),
                  checkpoint=checkpoint, interval_ms=interval_ms)
 
 
@@ -111,5 +138,6 @@ def measure_port(spark: SparkSession, *, path: str, host: str = RESULT_HOST,
                  port: int = RESULT_PORT, checkpoint: str | None = None,
                  interval_ms: int | None = None) -> StreamingQuery:
     """Log the result lines of a socket with the latency at arrival."""
-    return start(spark, to_text_log(port_results(socket_lines(spark, host, port)), path, "measured"),
+    lines = socket_lines(spark, host, port)
+    return start(spark, to_text_log(port_results(lines), path, "measured"),
                  checkpoint=checkpoint, interval_ms=interval_ms)

@@ -1,6 +1,5 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from streamlat.functions.digits import digit_sum, digit_sum_long
 from streamlat.operators import records
@@ -17,7 +16,7 @@ TEXTS = st.text(st.characters(codec="utf-8"), max_size=60) | st.text("0123456789
 @given(st.lists(TEXTS, min_size=1, max_size=200))
 def test_any_text(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "line string")
-    rows = df.select(digit_sum(F.col("line")).alias("d")).collect()
+    rows = df.select(digit_sum("line").alias("d")).collect()
     assert [r.d for r in rows] == [by_hand(t) for t in texts]
 
 
@@ -25,7 +24,7 @@ def test_any_text(spark, texts):
 @given(st.lists(st.integers(-2**63, 2**63 - 1), min_size=1, max_size=200))
 def test_any_number(spark, numbers):
     df = spark.createDataFrame([(n,) for n in numbers], "n bigint")
-    rows = df.select(digit_sum_long(F.col("n")).alias("d")).collect()
+    rows = df.select(digit_sum_long("n").alias("d")).collect()
     assert [r.d for r in rows] == [by_hand(str(n)) for n in numbers]
 
 
@@ -44,4 +43,4 @@ def test_appending_and_cutting(lines):
 
 def test_a_long_text(spark):
     df = spark.createDataFrame([("9a" * 500_000,)], "line string")
-    assert df.select(digit_sum(F.col("line")).alias("d")).collect()[0].d == 4_500_000
+    assert df.select(digit_sum("line").alias("d")).collect()[0].d == 4_500_000

@@ -68,8 +68,8 @@ def test_sums_beyond_64_bits(spark):
 @given(st.lists(st.integers(-2**63, 2**63 - 1), min_size=1, max_size=300))
 def test_exact_sum_and_mean(spark, numbers):
     df = spark.createDataFrame([(n,) for n in numbers], "x bigint").repartition(4)
-    row = df.agg(exact_sum(F.col("x")).alias("s"), F.count("x").alias("n")).withColumn(
-        "m", integer_mean(F.col("s"), F.col("n"))).collect()[0]
+    row = df.agg(exact_sum("x").alias("s"), F.count("x").alias("n")).withColumn(
+        "m", integer_mean("s", "n")).collect()[0]
     total = sum(numbers)
     assert int(row.s) == total
     assert row.m == abs(total) // len(numbers) * (1 if total >= 0 else -1)
