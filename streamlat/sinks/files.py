@@ -51,6 +51,8 @@ def to_each(results: DataFrame, *writers: Callable[[DataFrame, int], None]) -> D
     """Give every batch to several writers, reading and computing it once.
 
     Writers get the batch and its number, and may see the same number again after a failure.
+    What an executor loses or had no memory for is computed again, with later instants where
+    the clock is read per row.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         shared = share(batch)

@@ -5,6 +5,9 @@ Delivery: a Kafka sink is at least once. A socket source loses what it had read
 the driver is lost, and a socket sink repeats the rows of a retried task. Clocks of the
 machines that create, process and receive a record go into its latency.
 
+Records are processed in micro-batches; `record_latency_kafka` can also pass each on as it
+arrives (`continuous_ms`), for latencies of milliseconds.
+
 Windows are of arrival time. By default a window closes with the first batch after its
 end that has records; with `clock_fired` a timer closes it, records or not.
 """
@@ -66,13 +69,13 @@ def throughput_results(lines: DataFrame, *, clock_fired: bool = False) -> DataFr
 def record_latency_kafka(spark: SparkSession, *, servers: str, topics: str,
                          out_topic: str = RESULT_TOPIC, acks: str = "all",
                          min_partitions: int | None = None, max_per_trigger: int | None = None,
-                         checkpoint: str | None = None,
-                         interval_ms: int | None = None) -> StreamingQuery:
+                         checkpoint: str | None = None, interval_ms: int | None = None,
+                         continuous_ms: int | None = None) -> StreamingQuery:
     """Latency of every record of the topics."""
     lines = kafka_lines(spark, servers, topics, min_partitions=min_partitions,
                         max_per_trigger=max_per_trigger)
     return start(spark, to_kafka(record_latency(lines), servers, out_topic, acks=acks),
-                 checkpoint=checkpoint, interval_ms=interval_ms)
+                 checkpoint=checkpoint, interval_ms=interval_ms, continuous_ms=continuous_ms)
 
 
 def record_latency_port(spark: SparkSession, *, host: str = LINE_HOST, port: int = LINE_PORT,

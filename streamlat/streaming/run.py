@@ -11,22 +11,28 @@ SHUFFLE_WIDTH = "spark.sql.shuffle.partitions"
 
 
 def start(spark: SparkSession, writer: DataStreamWriter, *, checkpoint: str | None = None,
-          interval_ms: int | None = None, available_now: bool = False,
-          state_partitions: int | None = None, name: str | None = None) -> StreamingQuery:
+          interval_ms: int | None = None, continuous_ms: int | None = None,
+          available_now: bool = False, state_partitions: int | None = None,
+          name: str | None = None) -> StreamingQuery:
     """Start a stream that `sinks` prepared.
 
     With `checkpoint` a query that is started again goes on where it stopped. Without
     it the query gets a fresh folder, and a later run starts from the beginning.
     `interval_ms` is the micro-batch length; `available_now` processes what is there
-    and ends. `state_partitions` is how many parts the windows' state is kept in, and is
-    fixed with the checkpoint; by default it is the session's shuffle width, which is a
-    lot of small tasks per batch for a state of two keys per window.
+    and ends. `continuous_ms` passes each record on as it arrives and is the time between
+    checkpoints; this is for queries without windows, from and to topics, and takes a core
+    per topic partition for as long as the query runs.
+    `state_partitions` is how many parts the windows' state is kept in, and is fixed with
+    the checkpoint; by default it is the session's shuffle width, which is a lot of small
+    tasks per batch for a state of two keys per window.
     """
     writer = writer.option("checkpointLocation", checkpoint or new_dir(spark, "checkpoint"))
     if name:
         writer = writer.queryName(name)
     if available_now:
         writer = writer.trigger(availableNow=True)
+    elif continuous_ms is not None:
+        writer = writer.trigger(continuous=f"{continuous_ms} milliseconds")
     elif interval_ms is not None:
         writer = writer.trigger(processingTime=f"{interval_ms} milliseconds")
     if state_partitions is None:

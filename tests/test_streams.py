@@ -151,6 +151,21 @@ def test_rate_source(spark):
     assert got.where("latency_ms < -1000 OR latency_ms <> processed_ms - created_ms").count() == 0
 
 
+def test_continuous_records(spark):
+    stream = record_latency(load.rate_lines(spark, 100, partitions=2)).writeStream.format("memory")
+    query = start(spark, stream, continuous_ms=500, name="continuous_records")
+    deadline = time.time() + 60
+    while spark.table("continuous_records").count() < 200 and time.time() < deadline:
+        assert query.exception() is None
+        time.sleep(0.5)
+    query.stop()
+    got = spark.table("continuous_records")
+    seqs = sorted(r.seq for r in got.collect())
+    assert len(seqs) >= 200 and seqs == list(range(len(seqs)))
+    assert got.where("latency_ms <> processed_ms - created_ms OR result <> "
+                     "concat_ws(' ', seq, created_ms, processed_ms, latency_ms)").count() == 0
+
+
 def test_the_clock_closes_windows(spark, pieces):
     """No record follows the last one, and its window still comes out."""
     out = new_dir(spark, "clock")
