@@ -64,32 +64,29 @@ def records_within(steps: list[Step], total_s: int) -> int:
     return last.first_seq + (end - last.start_ns + last.delay_ns - 1) // last.delay_ns
 
 
-def _step_number(seq: Column, steps: list[Step], low: int, high: int) -> Column:
+def _step_sql(seq: str, steps: list[Step], low: int, high: int) -> str:
     # Nested halves, so a record is compared with log2(steps) bounds and not with all.
     if low == high:
-        return F.lit(low)
+        return str(low)
     middle = (low + high + 1) // 2
-    return (F.when(seq < steps[middle].first_seq, _step_number(seq, steps, low, middle - 1))
-             .otherwise(_step_number(seq, steps, middle, high)))
+    return (f"IF({seq} < {steps[middle].first_seq}L, "
+            f"{_step_sql(seq, steps, low, middle - 1)}, {_step_sql(seq, steps, middle, high)})")
 
 
-def sent_ns(seq: Column, steps: list[Step]) -> Column:
-    """When record `seq` is sent, in nanoseconds after the start of the load."""
+def sent_ns(seq: str, steps: list[Step]) -> Column:
+    """When the record numbered by column `seq` is sent, in nanoseconds after the start."""
     if len(steps) == 1:
-        return seq * F.lit(steps[0].delay_ns).cast("long")
-    number = _step_number(seq, steps, 0, len(steps) - 1)
-
-    def of_step(field: str) -> Column:
-        values = [F.lit(getattr(step, field)).cast("long") for step in steps]
-        return F.array(*values)[number]
-
-    return of_step("start_ns") + (seq - of_step("first_seq")) * of_step("delay_ns")
+        return F.expr(f"{seq} * {steps[0].delay_ns}L")
+    number = _step_sql(seq, steps, 0, len(steps) - 1)
+    first, start, delay = (f"array({', '.join(f'{value}L' for value in values)})[{number}]"
+                           for values in zip(*steps))
+    return F.expr(f"{start} + ({seq} - {first}) * {delay}")
 
 
 def paced(df: DataFrame, steps: list[Step], t0_ms: int) -> DataFrame:
     """Add `created_ms` to records with `seq` (from 0): when the load sends them."""
     return df.withColumn(
-        "created_ms", t0_ms + div(sent_ns(F.col("seq"), steps), F.lit(NS_PER_MS)))
+        "created_ms", t0_ms + div(sent_ns("seq", steps), F.lit(NS_PER_MS)))
 
 
 def paced_lines(df: DataFrame, steps: list[Step], t0_ms: int) -> DataFrame:
