@@ -10,15 +10,10 @@ from pyspark.sql import functions as F
 
 
 def _text_sql(text: str) -> str:
-    # Digits are removed one value at a time; what each removal takes off the byte
-    # length is how often the digit occurred. This stays in generated code, where
-    # aggregate() over an array of matches does not.
-    terms, rest = [], text
-    for digit in range(9, 0, -1):
-        without = f"replace({rest}, '{digit}')"
-        terms.append(f"{digit}L * (octet_length({rest}) - octet_length({without}))")
-        rest = without
-    return " + ".join(terms)
+    # How many bytes a text loses without a digit is how often the digit occurs. This
+    # stays in generated code, where aggregate() over an array of matches does not.
+    return " + ".join(f"{digit}L * (octet_length({text}) - octet_length(replace({text}, '{digit}')))"
+                      for digit in range(1, 10))
 
 
 def _number_sql(number: str) -> str:
@@ -41,11 +36,16 @@ def digit_sum_long(number: str) -> Column:
     return F.expr(_number_sql(number))
 
 
-def digit_sum_record(line: str, seq: str, created_ms: str) -> Column:
-    """Digit sum of a line whose first two fields are parsed already.
+def further_fields(line: str) -> Column:
+    """What follows the first two fields of a line, mostly nothing."""
+    return F.expr(f"substr({line}, length(substring_index({line}, ' ', 2)) + 1)")
 
-    Signs and leading zeros add nothing, so the two numbers stand for their text;
-    only what follows them, mostly nothing, is read as text.
+
+def digit_sum_record(seq: str, created_ms: str, further: str) -> Column:
+    """Digit sum of a line from its two numbers and its further fields, all columns.
+
+    Signs and leading zeros add nothing, so the numbers stand for their text; only
+    further fields, where there are any, are read as text.
     """
-    rest = f"substr({line}, length(substring_index({line}, ' ', 2)) + 1)"
-    return F.expr(f"{_number_sql(seq)} + {_number_sql(created_ms)} + {_text_sql(rest)}")
+    return F.expr(f"{_number_sql(seq)} + {_number_sql(created_ms)}"
+                  f" + IF(octet_length({further}) = 0, 0L, {_text_sql(further)})")

@@ -49,7 +49,11 @@ def cut_fields(df: DataFrame, n: int = 2) -> DataFrame:
 
 def with_digit_sum(df: DataFrame) -> DataFrame:
     """Add `digit_sum` to parsed records, counting the whole line."""
-    return df.withColumn("digit_sum", digits.digit_sum_record("line", "seq", "created_ms"))
+    # Spark computes a column that is used many times once, below its uses; written
+    # inline, the further fields would be cut out again for each of them.
+    return (df.withColumn("further", digits.further_fields("line"))
+              .withColumn("digit_sum", digits.digit_sum_record("seq", "created_ms", "further"))
+              .drop("further"))
 
 
 def unit_count(df: DataFrame) -> DataFrame:
