@@ -33,7 +33,8 @@ from streamlat.sources.socket import LINE_HOST, LINE_PORT, socket_lines
 from streamlat.streaming.clock_windows import clock_window_sums
 from streamlat.streaming.run import start
 
-# Batches do not go back in time, so no record arrives after its window's end.
+# Batches do not go back in time, so no record arrives after its window's end, unless the
+# driver's clock is set back by more than a window. Clock-fired windows count those too.
 NO_LATENESS = "0 seconds"
 
 
