@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlat.llm import arrow_files, packing, token_counts
+from streamlat.llm import arrow_files, decontamination, near_duplicates, packing, token_counts
 from streamlat.llm.support import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return enter
 
 
+@query("op1_decontamination")
+def decontaminate(spark, directory):
+    return decontamination.contamination(read(spark, directory, "documents"),
+                                         read(spark, directory, "benchmark"))
+
+
 @query("op3_arrow_sequences")
 def arrow_sequences(spark, directory, vocabulary=BYTE_BPE):
     manifest = arrow_files.write_sequences(read(spark, directory, "documents"), vocabulary, end_id=0)
@@ -39,6 +45,11 @@ def count(spark, directory, vocabulary=BYTE_BPE):
     return counts.withColumn("over_limit", token_counts.over_limit(F.col("n_tokens")))
 
 
+@query("op6_near_duplicates")
+def near(spark, directory):
+    return near_duplicates.components(read(spark, directory, "documents"))
+
+
 @query("op8_best_fit_packing")
 def best_fit(spark, directory, vocabulary=WORD_BPE):
     packed = packing.pack(read(spark, directory, "documents"), vocabulary, end_id=1)

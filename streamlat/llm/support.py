@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def text_slices(batches: Iterator[pa.RecordBatch],
     """Each batch in runs of rows with about `SLICE_BYTES` of text; a missing text is empty."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
         part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:]):
@@ -85,6 +86,38 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataF
     return df.mapInArrow(run, kind)
 
 
+def marked(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFrame:
+    """`row`, all columns of `df` as they are, beside the columns that `map_texts` would give.
+
+    For steps that make one row of each: a filter on the marks, then `row.*`, keeps rows
+    whole without a join.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    names = df.columns
+    kind = _parse_datatype_string(schema)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+
+    def run(batches):
+        step, arrow = make(), to_arrow_schema(kind)
+        for batch in batches:
+            rows = batch.column(0)
+            narrow = pa.RecordBatch.from_arrays(
+                [rows.field(names.index(c)) for c in ("doc_id", "text")], names=["doc_id", "text"])
+            at = 0
+            for part, texts in text_slices(iter([narrow])):
+                made = step(part, texts)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.slice(at, part.num_rows),
+                     *(x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type)
+                       for f in arrow)], names=["row", *arrow.names])
+                at += part.num_rows
+
+    from pyspark.sql.types import StructType
+    return packed.mapInArrow(run, StructType([*packed.schema.fields, *kind.fields]))
+
+
 class WordHashes(dict):
     """64-bit hash of a word in bytes; holds a bounded number of words."""
 

@@ -12,6 +12,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
         def step(batch, texts):
             return {"doc_id": batch.column(0), "n_tokens": counter(batch.column(1)),
-                    "n_bytes": pa.compute.binary_length(batch.column(1)).fill_null(0)
+                    "n_bytes": pc.binary_length(batch.column(1)).fill_null(0)
                     .cast(pa.int64())}
         return step
 
