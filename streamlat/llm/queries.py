@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlat.llm import arrow_files, decontamination, near_duplicates, packing, token_counts
+from streamlat.llm import (arrow_files, decontamination, language, near_duplicates, packing, quality,
+                           token_counts)
 from streamlat.llm.support import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,15 @@ def near(spark, directory):
 def best_fit(spark, directory, vocabulary=WORD_BPE):
     packed = packing.pack(read(spark, directory, "documents"), vocabulary, end_id=1)
     return packing.with_checksums(packed)
+
+
+@query("op9_line_frequency")
+def line_frequency(spark, directory):
+    return quality.quality(read(spark, directory, "documents"))
+
+
+@query("op10_language")
+def languages(spark, directory):
+    docs = read(spark, directory, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
