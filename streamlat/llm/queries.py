@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlat.llm import (arrow_files, decontamination, language, near_duplicates, packing, quality,
+from streamlat.llm import (arrow_files, decontamination, html_text, language, near_duplicates, packing, quality,
                            token_counts)
 from streamlat.llm.support import read
 
@@ -34,6 +34,11 @@ def decontaminate(spark, directory):
                                          read(spark, directory, "benchmark"))
 
 
+@query("op2_main_text")
+def main_texts(spark, directory):
+    return html_text.extract(read(spark, directory, "pages"))
+
+
 @query("op3_arrow_sequences")
 def arrow_sequences(spark, directory, vocabulary=BYTE_BPE):
     manifest = arrow_files.write_sequences(read(spark, directory, "documents"), vocabulary, end_id=0)
