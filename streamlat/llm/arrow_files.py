@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streamlat.llm.support import remove_at_exit, written
+from streamlat.llm.support import remove_at_exit, slices, written
 from streamlat.llm.vocabulary import Encoder
 from streamlat.session import new_dir
 
@@ -99,7 +99,7 @@ def write_sequences(docs: DataFrame, vocabulary: str, *, end_id: int = 0,
                 sinks = [store.open_output_stream(f"{at}{end}") for end in (".arrow", ".index.arrow")]
                 out = SequenceWriter(sinks[0], encoder.dtype, length)
                 index, n_docs, n_tokens = pa.ipc.new_file(sinks[1], INDEX), 0, 0
-            for rows in _slices(batch):
+            for rows in slices(iter([batch])):
                 ids, counts = encoder(rows.column(1))
                 with_end = np.insert(ids, np.cumsum(counts), np.array(end_id, ids.dtype))
                 counts = counts + 1
@@ -122,13 +122,6 @@ def write_sequences(docs: DataFrame, vocabulary: str, *, end_id: int = 0,
     return written(ordered.mapInArrow(run, MANIFEST), "manifest")
 
 
-def _slices(batch):
-    from streamlat.llm.support import text_slices
-
-    for rows, _ in text_slices(iter([batch])):
-        yield rows
-
-
 def sequence(path: str, number: int, batch: int = BATCH) -> tuple[np.ndarray, pa.Array]:
     """Ids (a view of the mapped file) and mask of one sequence of a local file."""
     file = pa.ipc.open_file(pa.memory_map(path.removeprefix("file://")))

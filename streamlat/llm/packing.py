@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlat.llm.support import broadcast_if_small, text_slices, written
+from streamlat.llm.support import broadcast_if_small, slices, written
 from streamlat.llm.vocabulary import Encoder
 
 CAPACITY = 4096
@@ -101,9 +101,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, end_id: int, capacity: int)
 
         task, encoder, seen = TaskContext.get().partitionId(), Encoder(vocabulary), np.zeros(
             capacity + 1, np.int64)
-        for batch in batches:
-            for rows, _ in text_slices(iter([batch])):
-                yield _pieces(rows, encoder, seen, task, end_id, capacity)
+        for rows in slices(batches):
+            yield _pieces(rows, encoder, seen, task, end_id, capacity)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInArrow(run, PIECES)

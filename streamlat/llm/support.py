@@ -49,9 +49,8 @@ def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
 
 
-def text_slices(batches: Iterator[pa.RecordBatch],
-                column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each batch in runs of rows with about `SLICE_BYTES` of text; a missing text is empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Each batch in runs of rows with about `SLICE_BYTES` of text."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
@@ -59,8 +58,15 @@ def text_slices(batches: Iterator[pa.RecordBatch],
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:]):
             if end > start:
-                yield (batch.slice(start, end - start),
-                       [t or "" for t in texts.slice(start, end - start).to_pylist()])
+                yield batch.slice(start, end - start)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch],
+                column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The slices with their texts; a missing text is empty."""
+    for batch in slices(batches, column):
+        texts = batch.column(batch.schema.get_field_index(column))
+        yield batch, [t or "" for t in texts.to_pylist()]
 
 
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFrame:

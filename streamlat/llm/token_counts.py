@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamlat.llm.support import map_texts
+from streamlat.llm.support import slices
 from streamlat.llm.vocabulary import BYTE_PATTERN, PIECES, cut, sure
 
 # Symbols merged at a time.
@@ -150,17 +150,15 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     A missing text is an empty one: no bytes, no tokens. Other columns are not read; a
     repeated row is counted each time it comes.
     """
-    def make():
+    def run(batches):
         counter = Counter(path)
-
-        def step(batch, texts):
-            return {"doc_id": batch.column(0), "n_tokens": counter(batch.column(1)),
-                    "n_bytes": pc.binary_length(batch.column(1)).fill_null(0)
-                    .cast(pa.int64())}
-        return step
+        for rows in slices(batches):
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), pc.binary_length(rows.column(1)).fill_null(0).cast(pa.int64()),
+                 pa.array(counter(rows.column(1)))], names=["doc_id", "n_bytes", "n_tokens"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_texts(narrow, "doc_id long, n_bytes long, n_tokens long", make)
+    return narrow.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def over_limit(n_tokens: Column, limit: int = 512) -> Column:
