@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlat.llm import (arrow_files, decontamination, html_text, language, near_duplicates, packing, quality,
-                           token_counts)
+from streamlat.llm import (arrow_files, decontamination, dialogue, html_text, language, near_duplicates, packing,
+                           personal_data, quality, token_counts)
 from streamlat.llm.support import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,10 +28,37 @@ def query(name: str, sql: str | None = None):
     return enter
 
 
-@query("op1_decontamination")
+# Ids of items with a window in a document, by comparing the windows as texts.
+@query("op1_decontamination", """
+WITH items AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(words) - width + 2),
+        lambda p: array_to_string(words[p:p + width - 1], ' '))) AS win
+    FROM (SELECT *, least(10, len(words)) AS width FROM items) WHERE width > 0),
+docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM documents),
+places AS (
+    SELECT doc_id, width, unnest(range(1, len(words) - width + 2)) AS place,
+           unnest(list_transform(range(1, len(words) - width + 2),
+                                 lambda p: array_to_string(words[p:p + width - 1], ' '))) AS win
+    FROM docs, (SELECT DISTINCT width FROM windows)),
+found AS (SELECT doc_id, item_id, width, place FROM places JOIN windows USING (width, win)),
+hits AS (SELECT doc_id, count(DISTINCT place + k) AS n_hit FROM found, unnest(range(width)) t(k) GROUP BY doc_id),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""")
 def decontaminate(spark, directory):
-    return decontamination.contamination(read(spark, directory, "documents"),
-                                         read(spark, directory, "benchmark"))
+    return decontamination.contamination(
+        read(spark, directory, "documents"), read(spark, directory, "benchmark")).drop("longest", "longest_at")
 
 
 @query("op2_main_text")
@@ -51,11 +78,43 @@ def count(spark, directory, vocabulary=BYTE_BPE):
     return counts.withColumn("over_limit", token_counts.over_limit(F.col("n_tokens")))
 
 
+@query("op5_perspectives", """
+WITH turns AS (
+    SELECT DISTINCT conv_id, coalesce(turn // 512, 0) AS segment, turn, coalesce(role, '') AS role,
+           coalesce(text, '') AS text
+    FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
+pieces AS (
+    SELECT t.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+                              ELSE '<|user:' || role || '|>' END || chr(10) AS header,
+           chr(10) || '<|end|>' || chr(10) AS closing
+    FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+placed AS (
+    SELECT *, row_number() OVER w AS number,
+           sum(length(header) + length(text) + length(closing)) OVER w - length(text) - length(closing) AS begins
+    FROM pieces WINDOW w AS (PARTITION BY conv_id, segment, speaker ORDER BY turn NULLS FIRST, role, text
+                             ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, CAST(segment AS BIGINT) AS segment, speaker, count(*) AS n_turns,
+       string_agg(header || text || closing, '' ORDER BY number) AS rendered,
+       coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(text) AS BIGINT), ',' ORDER BY number)
+                FILTER (WHERE role = speaker), '') AS mask
+FROM placed GROUP BY conv_id, segment, speaker""")
+def rotate(spark, directory):
+    made = dialogue.perspectives(read(spark, directory, "conversations"))
+    return made.select("conv_id", "segment", "speaker", "n_turns", "rendered",
+                       dialogue.mask_text(F.col("mask")).alias("mask"))
+
+
 @query("op6_near_duplicates")
 def near(spark, directory):
     return near_duplicates.components(read(spark, directory, "documents"))
 
 
+@query("op7_personal_data")
+def personal(spark, directory):
+    return personal_data.summary(read(spark, directory, "documents"))
+
+
 @query("op8_best_fit_packing")
 def best_fit(spark, directory, vocabulary=WORD_BPE):
     packed = packing.pack(read(spark, directory, "documents"), vocabulary, end_id=1)
