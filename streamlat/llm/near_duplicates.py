@@ -5,10 +5,11 @@ signatures are candidates. A pair of candidates is compared batch by batch of si
 positions and dropped once the posterior chance that it is similar enough falls below the
 miss probability; survivors are confirmed on their full sets. Links join nodes to components.
 
-Large buckets never give all their pairs. First each node is held against the smallest node
-of its buckets; what is joined by then needs no further pair. In what is still mixed, the
-few nodes outside the largest component are held against the others; where these are many,
-the bucket is split by a further band, which similar nodes share as well.
+Large buckets never give all their pairs. First each node is held against one node of each
+of its buckets, in rounds with other such nodes; what is joined by then needs no further
+pair. In what is still mixed, the few nodes outside the largest component are held against
+the others; where these are many, the bucket is split by a further band, which similar
+nodes share as well.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ ROWS, BANDS = 4, 40   # a pair of similarity 0.75 misses all bands with a chance
 COMPARED = 32         # signature positions of a step of verification
 MISS = 1e-6           # chance to drop a similar pair in verification
 FEW = 32              # nodes of a bucket that may be held against all others
+ROUNDS = 3            # of holding each node against one node of each bucket
 
 SKETCH = "doc_id long, row long, n_shingles long, digest binary, signature binary, bands array<long>"
 
@@ -207,20 +209,29 @@ def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     return labelled.join(kinds, "key")
 
 
-def _finer(mixed_members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of large mixed buckets by a further band each."""
-    split = (mixed_members.join(nodes.select("node", "bands"), "node")
-             .select("key", "band", "node", F.posexplode("bands").alias("next", "more"))
-             .where("next > band")
-             .select(F.xxhash64("key", "more").alias("key"), F.col("next").alias("band"), "node"))
-    return _shared(split)
+def _around(members: DataFrame, components: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each node with one node of each of its buckets, where their components differ."""
+    labelled = _labelled(members.drop("center"), components)
+    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    centers = (labelled.groupBy("key").agg(
+        F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("node", order).alias("center"),
+        F.min_by("c", order).alias("other")).where("low < high").select("key", "center", "other"))
+    return (labelled.join(centers, "key").where("c <> other")
+            .select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct())
+
+
+def _finer(mixed_members: DataFrame, shared: DataFrame) -> DataFrame:
+    """Members of large mixed buckets by each further band that they share with anyone."""
+    others = shared.select("node", F.col("band").alias("next"), F.col("key").alias("more"))
+    return _shared(mixed_members.join(others, "node").where("next > band")
+                   .select(F.xxhash64("key", "more").alias("key"), F.col("next").alias("band"), "node"))
 
 
 def _shared(bands: DataFrame) -> DataFrame:
     """Members of buckets with two nodes or more, with the smallest of each bucket."""
-    counts = (bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center"))
-              .where("n > 1").select("key", "center"))
-    return bands.join(counts, "key")
+    counts = (bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
+              .where("center < last").select("key", "center"))
+    return bands.join(counts, "key").select("key", "band", "node", "center")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -239,24 +250,23 @@ def components(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n"))
         .select("digest", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row"), "n"),
         "classes")
-    nodes = written(sketches.join(broadcast_if_small(classes.select("row", "node"), 32), "row")
-                    .select("node", "signature", "bands"), "nodes")
+    nodes = sketches.join(broadcast_if_small(classes.select("row", "node"), 32), "row").select(
+        "node", "signature", "bands")
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    members = written(_shared(bands).select("key", "band", "node", "center"), "members")
+    shared = written(_shared(bands), "shared")
     named = docs.where("doc_id IS NOT NULL")
 
     # The smallest node among all that a node shares a bucket with, at most one pair a node.
-    pairs = (members.where("node <> center").groupBy("node").agg(F.min("center").alias("a"))
+    pairs = (shared.where("node <> center").groupBy("node").agg(F.min("center").alias("a"))
              .select("a", F.col("node").alias("b")))
     links = verified(pairs, nodes, named)
     found = connected(links)
-    # The smallest node of each bucket.
-    centers = _labelled(members, found).where("node <> center")
-    centers = (centers.join(broadcast_if_small(found.toDF("center", "other"), 32), "center", "left")
-               .where("c <> coalesce(other, center)")
-               .select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    links = written(links.union(verified(centers, nodes, named)), "links")
-    found = connected(links)
+    for turn in range(ROUNDS):
+        more = verified(_around(shared, found, turn), nodes, named)
+        if not more.isEmpty():
+            links = written(links.union(more), "links")
+            found = connected(links)
+    members = shared
     while True:
         members = written(_mixed(members.drop("center"), found), "members")
         if members.isEmpty():
@@ -269,7 +279,7 @@ def components(docs: DataFrame) -> DataFrame:
                  .where("c <> cx AND (c = major OR x < node)")
                  .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
         members = written(_finer(members.where(f"few > {FEW} AND band < {BANDS - 1}")
-                                 .select("key", "band", "node"), nodes), "members")
+                                 .select("key", "band", "node"), shared), "members")
         links = written(links.union(verified(pairs, nodes, named)), "links")
         found = connected(links)
 
