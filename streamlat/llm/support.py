@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from streamlat.session import new_dir
 
 # Bytes of text that a task holds as Python objects at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 # Bytes that may be broadcast; what is larger takes a shuffle or goes in blocks.
 BROADCAST_BYTES = 32 << 20

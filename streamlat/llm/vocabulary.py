@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Pieces that a task remembers, before it starts anew.
-PIECES = 600_000
+PIECES = 250_000
 
 # Fixed value: the pattern by which byte-level vocabularies cut texts before any merge.
 BYTE_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
