@@ -16,7 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Pieces that a task remembers, before it starts anew.
-PIECES = 250_000
+PIECES = 600_000
+
+# Pre-tokens that go to the library at a time; each comes back as an object of its own.
+CALL = 4096
 
 # Fixed value: the pattern by which byte-level vocabularies cut texts before any merge.
 BYTE_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
@@ -84,6 +87,7 @@ class Encoder:
                                                              use_regex=False)
         self.line_end = len(self._ids("\n"))
         self.known: dict[str, bytes | None] = {}
+        self.plain = self._plain()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -103,8 +107,10 @@ class Encoder:
         found = self._pre_tokens(texts)
         unique: dict[str, int] = {}
         order = [unique.setdefault(t, len(unique)) for tokens in found for t in tokens]
-        ids = [np.array(e.ids, self.dtype).tobytes()
-               for e in self.merges.encode_batch_fast(list(unique), add_special_tokens=False)]
+        tokens, ids = list(unique), []
+        for at in range(0, len(tokens), CALL):
+            ids += [np.array(e.ids, self.dtype).tobytes() for e in self.merges.encode_batch_fast(
+                tokens[at:at + CALL], add_special_tokens=False)]
         at = 0
         for piece, tokens in zip(texts, found):
             self.known[piece] = b"".join([ids[i] for i in order[at:at + len(tokens)]])
@@ -114,9 +120,20 @@ class Encoder:
         return piece if piece[:1] == "\n" else " " + piece
 
     def _pre_tokens(self, texts: list[str]) -> list[list[str]]:
+        return [self.plain(t) if t.isascii() and t.isalpha() else self._found(t) for t in texts]
+
+    def _found(self, piece: str) -> list[str]:
         if self.normalizer is None:
-            return [self.find(self._with_blank(t)) for t in texts]
-        return [self.find(self.normalizer.normalize_str(t)) for t in texts]
+            return self.find(self._with_blank(piece))
+        return self.find(self.normalizer.normalize_str(piece))
+
+    def _plain(self):
+        """Pre-tokens of a piece of ASCII letters: it stays whole, with its blank or in small letters."""
+        if self.normalizer is None and self.keeps_blanks and self.find(" Ab") == [" Ab"]:
+            return lambda piece: [" " + piece]
+        if self.normalizer is not None and self._found("Ab") == ["ab"]:
+            return lambda piece: [piece.lower()]
+        return self._found
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
