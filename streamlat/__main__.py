@@ -27,7 +27,8 @@ def make_parser() -> argparse.ArgumentParser:
         for name, parameter in list(inspect.signature(job).parameters.items())[1:]:
             flag = "--" + name.replace("_", "-")
             if parameter.annotation == "bool":
-                command.add_argument(flag, action="store_true")
+                command.add_argument(flag, action=argparse.BooleanOptionalAction,
+                                     default=parameter.default)
             else:
                 required = parameter.default is inspect.Parameter.empty
                 command.add_argument(flag, type=TYPES[parameter.annotation], required=required,

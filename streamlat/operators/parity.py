@@ -57,7 +57,10 @@ def key_by_parity(df: DataFrame) -> DataFrame:
     return df.select("parity", F.struct("line", "n").alias("value"))
 
 
-def share(df: DataFrame) -> DataFrame:
-    """Keep the records in executor memory for several branches; what does not fit is
-    computed again. Unpersist it when the branches are done."""
-    return df.persist(StorageLevel.MEMORY_ONLY)
+def share(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+    """Keep the records on the executors for several branches, so that all see the same.
+
+    With MEMORY_ONLY, what does not fit is computed again. Unpersist it when the branches
+    are done.
+    """
+    return df.persist(level)

@@ -38,6 +38,7 @@ WIDE_WINDOW = "6 hours"
 
 # The ramp: 50 ms between records, down to 20 ms, by 25 percent every 2 s.
 RAMP = {"start_ns": 50_000_000, "min_ns": 20_000_000, "step_s": 2, "percent": 25}
+UNEVEN_RAMP = {"start_ns": 50_000_000, "min_ns": 1_000_000, "step_s": 2, "percent": 33.7}
 
 # Typed lines of the events table.
 LINES = """lines AS (
@@ -349,22 +350,36 @@ def _(spark, directory):
 
 # The oracle walks the load record by record: the record that crosses the end of a step
 # is sent, then the delay drops.
-@register("ramp_schedule", f"""
+def _ramp_sql(start_ns: int, min_ns: int, step_s: int, percent: float) -> str:
+    return f"""
 WITH RECURSIVE walk(seq, sent_ns, step_ns, delay_ns) AS (
-    SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, {RAMP["start_ns"]}::BIGINT
+    SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, {start_ns}::BIGINT
     UNION ALL
     SELECT seq + 1, sent_ns + next_delay, CASE WHEN cut THEN sent_ns ELSE step_ns END, next_delay
     FROM (SELECT *, CASE WHEN cut
-                         THEN CAST(trunc(delay_ns - delay_ns * {RAMP["percent"] / 100}) AS BIGINT)
+                         THEN CAST(trunc(delay_ns - delay_ns * CAST('{percent / 100!r}' AS DOUBLE)) AS BIGINT)
                          ELSE delay_ns END AS next_delay
-          FROM (SELECT *, delay_ns > {RAMP["min_ns"]}
-                          AND sent_ns - step_ns > {RAMP["step_s"]} * 1000000000 AS cut FROM walk))
+          FROM (SELECT *, delay_ns > {min_ns}
+                          AND sent_ns - step_ns > {step_s} * 1000000000 AS cut FROM walk))
     WHERE seq < (SELECT max(event_id) FROM events))
 SELECT seq || ' ' || ({LOAD_START} + sent_ns // 1000000) AS line
-FROM walk JOIN events ON event_id = seq""")
-def _(spark, directory):
+FROM walk JOIN events ON event_id = seq"""
+
+
+def _ramp_load(spark: SparkSession, directory: str, ramp: dict) -> DataFrame:
     seqs = tables.table(spark, directory, "events").select(F.col("event_id").alias("seq"))
-    return load.paced_lines(seqs, load.ramp_steps(**RAMP), LOAD_START)
+    return load.paced_lines(seqs, load.ramp_steps(**ramp), LOAD_START)
+
+
+@register("ramp_schedule", _ramp_sql(**RAMP))
+def _(spark, directory):
+    return _ramp_load(spark, directory, RAMP)
+
+
+# A percentage for which dividing late would be off by a nanosecond in each later record.
+@register("ramp_schedule_uneven", _ramp_sql(**UNEVEN_RAMP))
+def _(spark, directory):
+    return _ramp_load(spark, directory, UNEVEN_RAMP)
 
 
 # --- the five queries --------------------------------------------------------------

@@ -18,9 +18,15 @@ def topic_results(results: DataFrame) -> DataFrame:
 
 
 def port_results(results: DataFrame, *, arrival: Column | None = None) -> DataFrame:
-    """Result lines of a socket (`line`) with both latencies at arrival."""
+    """Result lines of a socket (`line`) with both latencies at arrival.
+
+    A line arrives when it is received (`timestamp`), where the source says so; without that
+    column and without `arrival`, when the batch reads it.
+    """
     line = F.col("line")
-    return (results.withColumn("arrival_ms", per_row() if arrival is None else arrival)
+    if arrival is None:
+        arrival = F.unix_millis("timestamp") if "timestamp" in results.columns else per_row()
+    return (results.withColumn("arrival_ms", arrival)
                    .withColumn("created_ms", parse_created_ms(line))
                    .withColumn("processed_ms", parse_field(line, 2, "processing time"))
                    .transform(port_latency)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,14 @@ def to_table(results: DataFrame, path: str) -> DataStreamWriter:
 def to_window_table(results: DataFrame, path: str) -> DataStreamWriter:
     """Write every window that changed, batch by batch, without waiting for it to close.
 
-    A batch that is run again writes over its own folder. Read with `latest_windows`.
+    A batch that is run again writes over its own folder, or counts as newer if the job was
+    started again. A job with a new checkpoint counts anew; its windows take the place of
+    those of earlier runs. Read with `latest_windows`.
     """
+    run = time.time_ns()
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
     return results.writeStream.outputMode("update").foreachBatch(write)
 
@@ -36,13 +41,13 @@ def to_window_table(results: DataFrame, path: str) -> DataStreamWriter:
 def latest_windows(spark: SparkSession, path: str, *key: str) -> DataFrame:
     """The last state of each window in a table written by `to_window_table`."""
     changes = spark.read.parquet(path)
-    values = [name for name in changes.columns if name not in (*key, "batch_id")]
-    last = F.max_by(F.struct(*values), "batch_id").alias("last")
+    values = [name for name in changes.columns if name not in (*key, "run", "batch_id")]
+    last = F.max_by(F.struct(*values), F.struct("run", "batch_id")).alias("last")
     return changes.groupBy(*key).agg(last).select(*key, "last.*")
 
 
 def to_console(results: DataFrame, rows: int = 20) -> DataStreamWriter:
-    """Print some rows of every batch, for looking at a stream."""
+    """Print at most `rows` rows of every batch, for looking at a stream."""
     return (results.writeStream.outputMode("append").format("console")
             .option("truncate", "false").option("numRows", rows))
 
@@ -51,8 +56,8 @@ def to_each(results: DataFrame, *writers: Callable[[DataFrame, int], None]) -> D
     """Give every batch to several writers, reading and computing it once.
 
     Writers get the batch and its number, and may see the same number again after a failure.
-    What an executor loses or had no memory for is computed again, with later instants where
-    the clock is read per row.
+    What does not fit in memory goes to disk. Only what is lost with an executor is computed
+    again, with later instants where the clock is read per row.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         shared = share(batch)

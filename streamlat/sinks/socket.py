@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import socket
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 # Where results are received.
@@ -20,35 +23,35 @@ def connect(host: str, port: int) -> BinaryIO:
         return connection.makefile("wb")  # the stream keeps the connection open
 
 
-class LineWriter:
-    """Foreach writer: sends each row's `result` as a line.
+def as_lines(results: pa.Array) -> bytes:
+    """The texts as lines; one that already ends in a newline gets no second one."""
+    ended = pc.binary_join_element_wise(pc.utf8_rtrim(results, characters="\n"), "", "\n")
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(ended)], ended), "")[0].as_py().encode()
 
-    A row that already ends in a newline gets no second one. A retried task sends its
-    rows again, and rows sent before a failure stay sent.
-    """
-
-    def __init__(self, host: str, port: int,
-                 connector: Callable[[str, int], BinaryIO] = connect) -> None:
-        self.host, self.port, self.connector = host, port, connector
-        self.stream: BinaryIO | None = None
-
-    def open(self, partition_id: int, epoch_id: int) -> bool:
-        self.stream = None
-        return True
-
-    def process(self, row) -> None:
-        if self.stream is None:
-            self.stream = self.connector(self.host, self.port)
-        self.stream.write(row.result.rstrip("\n").encode() + b"\n")
 
-    def close(self, error: Exception | None) -> None:
-        if self.stream is not None:
-            self.stream.close()
-            self.stream = None
+def send(batches: Iterator[pa.RecordBatch], host: str, port: int,
+         connector: Callable[[str, int], BinaryIO] = connect) -> Iterator[pa.RecordBatch]:
+    """Send `result` of all batches over one connection, which is opened for the first row."""
+    stream = None
+    try:
+        for batch in batches:
+            if batch.num_rows:
+                stream = stream or connector(host, port)
+                stream.write(as_lines(batch.column(0).drop_null()))
+                yield pa.RecordBatch.from_pydict({"sent": [batch.num_rows]})
+    finally:
+        if stream is not None:
+            stream.close()
 
 
 def to_socket(results: DataFrame, host: str = RESULT_HOST, port: int = RESULT_PORT,
               connector: Callable[[str, int], BinaryIO] = connect) -> DataStreamWriter:
-    """Send `result` to a TCP server."""
-    return (results.select("result").writeStream.outputMode("append")
-            .foreach(LineWriter(host, port, connector)))
+    """Send `result` to a TCP server, a write for each Arrow batch.
+
+    A retried task sends its rows again, and rows sent before a failure stay sent.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sent = batch.mapInArrow(lambda batches: send(batches, host, port, connector), "sent long")
+        sent.agg(F.sum("sent")).collect()
+
+    return results.select("result").writeStream.outputMode("append").foreachBatch(write)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from streamlat.functions.lines import format_result
 
 NS_PER_MS = 1_000_000
 NS_PER_S = 1_000_000_000
-MAX_STEPS = 4096
+# Steps that are looked up in generated code; more go through a binary search over arrays.
+STEPS_IN_SQL = 64
 
 
 class Step(NamedTuple):
@@ -47,11 +50,9 @@ def ramp_steps(start_ns: int, min_ns: int, step_s: int, percent: float) -> list[
     """
     steps = [Step(0, 0, start_ns)]
     while steps[-1].delay_ns > min_ns and percent > 0:
-        if len(steps) == MAX_STEPS:
-            raise ValueError(f"more than {MAX_STEPS} steps; choose a larger percent")
         seq, start, delay = steps[-1]
         sent = step_s * NS_PER_S // delay + 1
-        steps.append(Step(seq + sent, start + sent * delay, int(delay - delay * percent / 100)))
+        steps.append(Step(seq + sent, start + sent * delay, int(delay - delay * (percent / 100))))
     return steps
 
 
@@ -73,10 +74,25 @@ def _step_sql(seq: str, steps: list[Step], low: int, high: int) -> str:
             f"{_step_sql(seq, steps, low, middle - 1)}, {_step_sql(seq, steps, middle, high)})")
 
 
+def _looked_up(steps: list[Step]):
+    """The same by binary search, for ramps of many steps."""
+    first, start, delay = (np.array(values, np.int64) for values in zip(*steps))
+
+    @F.pandas_udf("long")
+    def sent(seq: pd.Series) -> pd.Series:
+        numbers = seq.to_numpy(np.int64)
+        step = np.searchsorted(first, numbers, side="right") - 1
+        return pd.Series(start[step] + (numbers - first[step]) * delay[step])
+
+    return sent
+
+
 def sent_ns(seq: str, steps: list[Step]) -> Column:
     """When the record numbered by column `seq` is sent, in nanoseconds after the start."""
     if len(steps) == 1:
         return F.expr(f"{seq} * {steps[0].delay_ns}L")
+    if len(steps) > STEPS_IN_SQL:
+        return _looked_up(steps)(F.col(seq))
     number = _step_sql(seq, steps, 0, len(steps) - 1)
     first, start, delay = (f"array({', '.join(f'{value}L' for value in values)})[{number}]"
                            for values in zip(*steps))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from streamlat.operators.records import rescale
 
@@ -13,12 +12,14 @@ LINE_PORT = 9999
 
 
 def socket_lines(spark: SparkSession, host: str = LINE_HOST, port: int = LINE_PORT,
-                 *, partitions: int | None = None) -> DataFrame:
-    """`line` per line received.
+                 *, partitions: int | None = None, received: bool = False) -> DataFrame:
+    """`line` per line received; with `received`, also the `timestamp` of its receipt.
 
     The socket source cannot replay: what was received and not yet processed is lost
     with the driver. `partitions` spreads the rows over that many tasks.
     """
-    lines = (spark.readStream.format("socket").option("host", host).option("port", port)
-             .load().select(F.col("value").alias("line")))
+    reader = spark.readStream.format("socket").option("host", host).option("port", port)
+    if received:
+        reader = reader.option("includeTimestamp", True)
+    lines = reader.load().withColumnRenamed("value", "line")
     return rescale(lines, partitions) if partitions else lines

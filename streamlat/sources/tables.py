@@ -20,10 +20,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
 
-def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """The same as a stream of its files."""
-    # The pattern matches a folder of files as well as a single file.
-    return spark.readStream.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet*")
+def table_stream(spark: SparkSession, directory: str, name: str, *,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same as a stream of its files, at most `max_files_per_trigger` of them a batch."""
+    reader = spark.readStream.schema(SCHEMAS[name])
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    # A stream reads a single file only by a pattern; this one matches no other name.
+    return reader.parquet(f"{directory}/{name}.parque[t]")
 
 
 def epoch_ms(timestamp: Column) -> Column:

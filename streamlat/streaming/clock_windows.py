@@ -1,95 +1,34 @@
-"""Tumbling windows of processing time that the clock closes.
+"""Tumbling windows of arrival that the clock closes, also when no record follows.
 
-`window_sums` with arrival times closes a window when a later record arrives. Here a
-timer closes it, so the last window before a pause comes out as well. The clock is that
-of the micro-batch: all records of a batch fall into the window the batch starts in.
+A window closes with a batch after its end, and a batch comes with each row of a source. So
+the records are joined by a heartbeat: one row a second without values, which is in no window's
+result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from streamlat.functions.exact import combine, parts_sql
-
-PARTS = ("high", "middle", "low")
-
-
-class ClockWindows(StatefulProcessor):
-    """Adds up the sums of each batch per window, and gives a window out when its timer fires."""
-
-    def __init__(self, width_ms: int, sums: list[str]) -> None:
-        self.width_ms, self.sums = width_ms, sums
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        start = T.StructType([T.StructField("window_start_ms", T.LongType())])
-        sums = T.StructType([T.StructField(name, T.LongType()) for name in self.sums])
-        self.windows = handle.getMapState("windows", start, sums)
+from streamlat.operators.windows import arrival_time, window_sums
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        start = now - now % self.width_ms
-        added = [0] * len(self.sums)
-        if self.windows.containsKey((start,)):
-            added = list(self.windows.getValue((start,)))
-        else:
-            self.handle.registerTimer(start + self.width_ms)
-        for frame in rows:
-            added = [a + int(frame[name].sum()) for a, name in zip(added, self.sums)]
-        self.windows.updateValue((start,), tuple(added))
-        return iter(())
+# Batches do not go back in time, so no record arrives after its window's end, unless the
+# driver's clock is set back by more than a window.
+NO_LATENESS = "0 seconds"
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start = expiredTimerInfo.getExpiryTimeInMs() - self.width_ms
-        sums = self.windows.getValue((start,))
-        self.windows.removeKey((start,))
-        row = {"window_start_ms": start, "parity": key[0], **dict(zip(self.sums, sums))}
-        yield pd.DataFrame([row])
 
-    def close(self) -> None:
-        pass
+def with_heartbeat(records: DataFrame) -> DataFrame:
+    """The records of a stream, and one row a second in which all their columns are NULL."""
+    beat = (records.sparkSession.readStream.format("rate").option("rowsPerSecond", 1)
+            .option("numPartitions", 1).load())
+    return records.unionByName(beat.select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema]))
 
 
-def clock_window_sums(df: DataFrame, width_ms: int, *,
+def clock_window_sums(records: DataFrame, width: str, *,
                       totals: tuple[str, ...] = ()) -> DataFrame:
-    """Count and sums per window of `width_ms` milliseconds and parity; streams only.
-
-    With two keys, the state lives in two tasks. Rows are therefore added up per Arrow
-    batch where they are read, and only those sums are sent to the state.
-    """
-    sums = ["n", *[f"{field}_{part}" for field in ("seq", "created_ms") for part in PARTS],
-            *[f"sum_{name}" for name in totals]]
-    split = df.select(
-        "parity", F.lit(1).cast("long").alias("n"),
-        *[F.expr(value).alias(f"{field}_{part}") for field in ("seq", "created_ms")
-          for part, value in zip(PARTS, parts_sql(field))],
-        *[F.col(name).cast("long").alias(f"sum_{name}") for name in totals])
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grouped = pa.Table.from_batches([batch]).group_by("parity").aggregate(
-                [(name, "sum") for name in sums])
-            named = grouped.select(["parity", *[f"{name}_sum" for name in sums]])
-            yield from named.rename_columns(["parity", *sums]).to_batches()
-
-    long_sums = [T.StructField(name, T.LongType()) for name in sums]
-    output = T.StructType([T.StructField("window_start_ms", T.LongType()),
-                           T.StructField("parity", T.StringType()), *long_sums])
-    closed = (split.mapInArrow(add_up, split.schema)
-                   .groupBy("parity")
-                   .transformWithStateInPandas(ClockWindows(width_ms, sums), output,
-                                               outputMode="Append", timeMode="ProcessingTime"))
-
-    def total(field: str):
-        return combine(*[f"{field}_{part}" for part in PARTS])
-
-    return closed.select(
-        "window_start_ms", "parity", "n", total("seq").alias("sum_seq"),
-        total("created_ms").alias("sum_created_ms"), *[f"sum_{name}" for name in totals])
+    """`window_sums` by arrival of labelled records, closed within a second or so and a batch of their end."""
+    sums = window_sums(with_heartbeat(records), width, time=arrival_time(),
+                       lateness=NO_LATENESS, totals=totals)
+    # A condition on the key would be pushed below the watermark and take the heartbeat away.
+    return sums.where(F.col("sum_seq").isNotNull())

@@ -82,7 +82,7 @@ def test_options_reach_source_and_sink(wired, tmp_path):
 def test_arrival_windows_come_out_with_a_later_batch(wired, job, options):
     put, run, lines, calls = wired
     put("1 100")
-    query = run(job, state_partitions=2, **options)
+    query = run(job, clock_fired=False, **options)
     deadline, got = time.time() + 90, []
     while not got and time.time() < deadline:
         time.sleep(1)
@@ -96,12 +96,13 @@ def test_arrival_windows_come_out_with_a_later_batch(wired, job, options):
 
 @pytest.mark.parametrize("job, options", [
     (jobs.parity_mean_kafka, SERVERS | {"topics": "a"}),
+    (jobs.parity_mean_port, {}),
     (jobs.throughput_kafka, SERVERS | {"topics": "a"}),
 ])
-def test_clock_fired_windows_need_no_later_record(wired, job, options):
+def test_windows_need_no_later_record(wired, job, options):
     put, run, lines, calls = wired
     put("1 100")
-    query = run(job, clock_fired=True, state_partitions=2, **options)
+    query = run(job, **options)
     deadline, got = time.time() + 90, []
     while not got and time.time() < deadline:
         time.sleep(1)
@@ -144,3 +145,12 @@ def test_measure_port(wired, tmp_path):
     run(jobs.measure_port, path=str(tmp_path / "log")).stop()
     *result, arrival, whole, leg = map(int, lines(tmp_path / "log")[0].split(" "))
     assert result == [5, 1000, 1600, 600] and (whole, leg) == (arrival - 1000, arrival - 1600)
+
+
+def test_a_bad_line_does_not_stop_a_lenient_job(wired):
+    put, run, lines, calls = wired
+    put("7 100", "bad", "8 x", "9 300")
+    query = run(jobs.record_latency_kafka, topics="a", lenient=True, **SERVERS)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(line.split()[:2] for line in lines()) == [["7", "100"], ["9", "300"]]

@@ -22,6 +22,11 @@ CASES = [
     (7_654_321, 1_000, 1, 33.3),       # far below the minimum at the end
     (1_000_000_000, 10_000_000, 1, 50),
     (900_000_000, 1, 0, 1),            # hundreds of steps, one per record
+    # The percentage is divided before it is taken of the delay.
+    (50_000_000, 20_000_000, 0, 33.7),
+    (73_000_000, 1_000, 0, 34.2),
+    (100_000_000, 1_000, 0, 55),
+    (1_000_000_000, 1_000, 0, 0.1),    # thousands of steps
 ]
 
 
@@ -46,9 +51,19 @@ def test_known_ramp():
     assert steps[-1].delay_ns < 20_000_000  # the last cut may land below the minimum
 
 
-def test_a_ramp_with_too_many_steps_is_refused():
-    with pytest.raises(ValueError, match="steps"):
-        load.ramp_steps(50_000_000, 1, 1, 0.001)
+def test_cuts_of_one_nanosecond():
+    assert load.ramp_steps(50_000_000, 40_000_000, 1, 33.7)[1].delay_ns == 33_150_000
+    assert load.ramp_steps(100_000_000, 50_000_000, 1, 55)[1].delay_ns == 44_999_999
+
+
+def test_a_ramp_may_have_any_number_of_steps(spark):
+    steps = load.ramp_steps(1_000_000_000, 1_000, 1, 0.1)
+    assert len(steps) == 13_387
+    seqs = [steps[k].first_seq + d for k in (0, 1, 5_000, 13_385) for d in (0, 1)]
+    rows = spark.createDataFrame([(s,) for s in seqs], "seq long").select(
+        load.sent_ns("seq", steps).alias("t")).collect()
+    assert [r.t for r in rows] == [
+        steps[k].start_ns + d * steps[k].delay_ns for k in (0, 1, 5_000, 13_385) for d in (0, 1)]
 
 
 def test_constant_load(spark):

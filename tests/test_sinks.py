@@ -1,6 +1,7 @@
 import io
 import os
 
+import pyarrow as pa
 import pytest
 
 from streamlat.__main__ import make_parser
@@ -8,7 +9,7 @@ from streamlat.functions.clock import fixed
 from streamlat.plans.record_latency import record_latency
 from streamlat.sinks import files
 from streamlat.sinks.kafka import kafka_rows, sink_options
-from streamlat.sinks.socket import LineWriter, to_socket
+from streamlat.sinks.socket import send, to_socket
 from streamlat.sources.kafka import source_options
 from streamlat.sources.files import text_lines
 from streamlat.streaming.run import replay
@@ -36,36 +37,37 @@ def test_kafka_rows_have_a_value_only(lines):
     assert kafka_rows(record_latency(lines("7 100"))).columns == ["value"]
 
 
-class Row:
-    def __init__(self, result):
-        self.result = result
+class Connection(io.BytesIO):
+    writes = 0
 
+    def write(self, data):
+        self.writes += 1
+        return super().write(data)
 
-class Connection(io.BytesIO):
     def close(self):
         self.sent = self.getvalue()
         super().close()
 
 
-def test_socket_writer_sends_lines_over_one_connection():
+def batch(*texts):
+    return pa.RecordBatch.from_pydict({"result": pa.array(texts, pa.string())})
+
+
+def test_socket_sink_sends_batches_over_one_connection():
     opened = []
 
     def connector(host, port):
         opened.append(((host, port), Connection()))
         return opened[-1][1]
 
-    writer = LineWriter("h", 1, connector)
-    assert writer.open(0, 0)
-    writer.process(Row("a"))
-    writer.process(Row("b\n"))
-    writer.close(None)
-    assert len(opened) == 1 and opened[0][0] == ("h", 1) and opened[0][1].sent == b"a\nb\n"
+    sent = list(send(iter([batch("a", "b\n"), batch(), batch("é")]), "h", 1, connector))
+    assert [s.column(0)[0].as_py() for s in sent] == [2, 1]
+    assert len(opened) == 1 and opened[0][0] == ("h", 1)
+    assert opened[0][1].sent == "a\nb\né\n".encode() and opened[0][1].writes == 2
 
 
-def test_socket_writer_opens_nothing_for_an_empty_partition():
-    writer = LineWriter("h", 1, lambda host, port: pytest.fail("opened"))
-    assert writer.open(0, 0)
-    writer.close(None)
+def test_socket_sink_opens_nothing_for_an_empty_partition():
+    assert list(send(iter([batch()]), "h", 1, lambda host, port: pytest.fail("opened"))) == []
 
 
 class FolderConnector:
