@@ -164,6 +164,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     likely = written(_plausible(pairs, nodes), "likely")
+    if likely.isEmpty():
+        return likely
     ids = written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
     sets = written(_sets(docs, ids), "sets")
     both = (likely.join(sets.toDF("a", "items_a"), "a").join(sets.toDF("b", "items_b"), "b")
@@ -280,8 +282,10 @@ def components(docs: DataFrame) -> DataFrame:
                  .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
         members = written(_finer(members.where(f"few > {FEW} AND band < {BANDS - 1}")
                                  .select("key", "band", "node"), shared), "members")
-        links = written(links.union(verified(pairs, nodes, named)), "links")
-        found = connected(links)
+        more = verified(pairs, nodes, named)
+        if not more.isEmpty():
+            links = written(links.union(more), "links")
+            found = connected(links)
 
     named_classes = (classes.join(broadcast_if_small(found, 32), "node", "left")
                      .where("n > 1 OR component IS NOT NULL")
