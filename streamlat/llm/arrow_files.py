@@ -15,6 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -162,8 +163,9 @@ def _documents(row: dict):
             total = len(left)
             while total < need:
                 batch = next(stream)
-                ids = batch.column(0).flatten().to_numpy()
-                ids = ids[batch.column(1).flatten().to_numpy(zero_copy_only=False)]
+                # What the mask leaves out is at the end of the file.
+                real = pc.sum(batch.column(1).flatten()).as_py()
+                ids = batch.column(0).flatten().to_numpy()[:real]
                 have.append(ids.astype("<u4"))
                 total += len(ids)
             ids = np.concatenate(have)

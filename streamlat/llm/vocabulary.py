@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Pieces that a task remembers, before it starts anew.
-PIECES = 600_000
+PIECES = 1_000_000
 
 # Pre-tokens that go to the library at a time; each comes back as an object of its own.
 CALL = 4096
