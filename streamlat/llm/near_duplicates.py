@@ -8,8 +8,9 @@ miss probability; survivors are confirmed on their full sets. Links join nodes t
 Large buckets never give all their pairs. First each node is held against one node of each
 of its buckets, in rounds with other such nodes; what is joined by then needs no further
 pair. In what is still mixed, the few nodes outside the largest component are held against
-the others; where these are many, the bucket is split by a further band, which similar
-nodes share as well.
+the others. Where these are many, the full sets decide which pairs are left: the shingles of
+all such nodes are put in one order, rare ones first, and the first shingle that two similar
+sets have in common is near the front of both. No pair that may be similar is left out.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ COMPARED = 32         # signature positions of a step of verification
 MISS = 1e-6           # chance to drop a similar pair in verification
 FEW = 32              # nodes of a bucket that may be held against all others
 ROUNDS = 3            # of holding each node against one node of each bucket
+SLOTS = 18            # bits of a shingle's hash by which its frequency is counted
+BLOCK = 512           # nodes that a task holds against all others of a group
 
 SKETCH = "doc_id long, row long, n_shingles long, digest binary, signature binary, bands array<long>"
 
@@ -222,11 +225,88 @@ def _around(members: DataFrame, components: DataFrame, turn: int) -> DataFrame:
             .select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct())
 
 
-def _finer(mixed_members: DataFrame, shared: DataFrame) -> DataFrame:
-    """Members of large mixed buckets by each further band that they share with anyone."""
-    others = shared.select("node", F.col("band").alias("next"), F.col("key").alias("more"))
-    return _shared(mixed_members.join(others, "node").where("next > band")
-                   .select(F.xxhash64("key", "more").alias("key"), F.col("next").alias("band"), "node"))
+def _across(members: DataFrame, fits: str = "true") -> DataFrame:
+    """Pairs of the nodes outside the largest component of a group with all others of it.
+
+    Groups with many such nodes go in blocks, so that no task has all pairs of one. In `fits`,
+    the columns of the outside node end in _x.
+    """
+    blocks = F.ceil(F.col("few") / BLOCK).cast("int")
+    outside = members.where("c <> major").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    outside = outside.select("key", "block", *[F.col(k).alias(f"{k}_x") for k in members.columns if k != "key"])
+    others = members.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return (outside.join(others, ["key", "block"]).where(f"c <> c_x AND (c = major OR node_x < node) AND {fits}")
+            .select(F.least("node_x", "node").alias("a"), F.greatest("node_x", "node").alias("b")).distinct())
+
+
+def _slots(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall in each slot: a fixed number, whatever the size of the sets."""
+    def run(batches):
+        counts = np.zeros(1 << SLOTS, np.int64)
+        for batch in batches:
+            for items in batch.column(0).to_pylist():
+                np.add.at(counts, _slots(np.frombuffer(items, np.uint64)), 1)
+        slot = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
+
+    counts = np.zeros(1 << SLOTS, np.int64)
+    # A row a slot at most.
+    for slot, n in (sets.select("items").mapInArrow(run, "slot long, n long").groupBy("slot")
+                    .agg(F.sum("n")).collect()):
+        counts[slot] = n
+    return counts
+
+
+def fronts(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of their frequency: what a similar set must share one of."""
+    least, most = SIMILAR
+    order = items[np.lexsort((items, counts[_slots(items)]))]
+    return order[:len(items) - -(-least * len(items) // most) + 1]
+
+
+# Two sets whose first common shingle has `left` shingles from there on, itself among them, share
+# at most the lesser `left`.
+FITS = f"{sum(SIMILAR)} * least(left, left_x) >= {SIMILAR[0]} * (n + n_x)"
+
+
+def _fronts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(key, node, n, left): the fronts of the nodes in `ids`, as groups by shingle."""
+    sets = written(_sets(docs, ids), "sets")
+    counts = docs.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+                front = [fronts(x, counts.value) for x in sets]
+                sizes = np.fromiter(map(len, front), np.int64, len(front))
+                n = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), sizes)
+                turn = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(front).view(np.int64)),
+                     pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes)),
+                     pa.array(n.astype(np.int32)), pa.array((n - turn).astype(np.int32))],
+                    names=["key", "node", "n", "left"])
+
+    return sets.select("node", "items").mapInArrow(run, "key long, node long, n int, left int")
+
+
+def _left_over(members: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs of the members that may be similar and are not in one component, by their full sets."""
+    ids = written(members.select("node").distinct(), "many")
+    fronts_ = _labelled(written(_fronts(docs, ids), "fronts"), components)
+    least, most = SIMILAR
+    # The smaller set of a pair shares at least this much of itself.
+    near = F.max(F.col("left") * (least + most) >= 2 * least * F.col("n"))
+    groups = (fronts_.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), near.alias("near"))
+              .where("low < high AND near").select("key"))
+    mixed = written(_mixed(fronts_.drop("c").join(groups, "key"), components), "members")
+    return _across(mixed, FITS)
 
 
 def _shared(bands: DataFrame) -> DataFrame:
@@ -268,21 +348,15 @@ def components(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             links = written(links.union(more), "links")
             found = connected(links)
-    members = shared
-    while True:
-        members = written(_mixed(members.drop("center"), found), "members")
-        if members.isEmpty():
-            break
-        # At the last band, what is left in a bucket shares several bands and is compared whole.
-        direct = members.where(f"few <= {FEW} OR band = {BANDS - 1}")
-        outside = direct.where("c <> major").select("key", "major", F.col("node").alias("x"),
-                                                    F.col("c").alias("cx"))
-        pairs = (outside.join(direct.select("key", "node", "c"), "key")
-                 .where("c <> cx AND (c = major OR x < node)")
-                 .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-        members = written(_finer(members.where(f"few > {FEW} AND band < {BANDS - 1}")
-                                 .select("key", "band", "node"), shared), "members")
-        more = verified(pairs, nodes, named)
+    members = written(_mixed(shared.drop("center"), found), "members")
+    direct = f"few <= {FEW} OR band = {BANDS - 1}"
+    more = verified(_across(members.where(direct)), nodes, named)
+    if not more.isEmpty():
+        links = written(links.union(more), "links")
+        found = connected(links)
+    members = written(_mixed(members.where(f"NOT ({direct})").select("key", "node"), found), "members")
+    if not members.isEmpty():
+        more = verified(_left_over(members, found, named), nodes, named)
         if not more.isEmpty():
             links = written(links.union(more), "links")
             found = connected(links)

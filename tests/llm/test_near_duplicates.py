@@ -122,3 +122,33 @@ def test_pipeline(spark):
         for kind, a, b in sorted(base_spans(text), key=lambda s: -s[1]):
             text = f"{text[:a]}<{kind.upper()}>{text[b:]}"
         assert lengths[k] == len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+
+
+def couples(n, choose):
+    """Pairs of similar documents, two of different pairs not similar, on one long passage."""
+    core, texts = [f"k{i}" for i in range(100)], {}
+    for i in range(n):
+        own = core + [f"c{i}x{k}" for k in range(30)]
+        for k in range(2):
+            texts[2 * i + k] = " ".join(own + [f"o{i}x{k}x{j}" for j in range(8)])
+    keys = list(texts)
+    choose.shuffle(keys)
+    return {k: texts[j] for k, j in zip(range(len(keys)), keys)}
+
+
+def in_bands(monkeypatch, same):
+    """Let all documents share the bands in `same`, and no other."""
+    sketch = near_duplicates.sketch
+    bands = F.transform(F.sequence(F.lit(0), F.lit(near_duplicates.BANDS - 1)), lambda b: F.when(
+        b.isin(same), b.cast("long")).otherwise(F.xxhash64("doc_id", b)))
+    monkeypatch.setattr(near_duplicates, "sketch", lambda docs: sketch(docs).withColumn(
+        "bands", F.when(F.size("bands") > 0, bands)))
+
+
+def test_pairs_whose_shared_bands_are_all_hot(spark, monkeypatch):
+    texts = couples(60, random.Random(2))
+    expected = brute_components(texts)
+    assert len({c for _, c, _ in expected.values()}) == 60
+    in_bands(monkeypatch, [3, 8, 20])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in near_duplicates.components(docs).collect()} == expected
