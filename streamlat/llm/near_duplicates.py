@@ -313,7 +313,7 @@ def _shared(bands: DataFrame) -> DataFrame:
     """Members of buckets with two nodes or more, with the smallest of each bucket."""
     counts = (bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
               .where("center < last").select("key", "center"))
-    return bands.join(counts, "key").select("key", "band", "node", "center")
+    return bands.join(counts, "key").select("key", "node", "center")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -334,7 +334,7 @@ def components(docs: DataFrame) -> DataFrame:
         "classes")
     nodes = sketches.join(broadcast_if_small(classes.select("row", "node"), 32), "row").select(
         "node", "signature", "bands")
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    bands = nodes.select("node", F.explode("bands").alias("key"))
     shared = written(_shared(bands), "shared")
     named = docs.where("doc_id IS NOT NULL")
 
@@ -349,12 +349,11 @@ def components(docs: DataFrame) -> DataFrame:
             links = written(links.union(more), "links")
             found = connected(links)
     members = written(_mixed(shared.drop("center"), found), "members")
-    direct = f"few <= {FEW} OR band = {BANDS - 1}"
-    more = verified(_across(members.where(direct)), nodes, named)
+    more = verified(_across(members.where(f"few <= {FEW}")), nodes, named)
     if not more.isEmpty():
         links = written(links.union(more), "links")
         found = connected(links)
-    members = written(_mixed(members.where(f"NOT ({direct})").select("key", "node"), found), "members")
+    members = written(_mixed(members.where(f"few > {FEW}").select("key", "node"), found), "members")
     if not members.isEmpty():
         more = verified(_left_over(members, found, named), nodes, named)
         if not more.isEmpty():

@@ -152,3 +152,17 @@ def test_pairs_whose_shared_bands_are_all_hot(spark, monkeypatch):
     in_bands(monkeypatch, [3, 8, 20])
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: tuple(r)[1:] for r in near_duplicates.components(docs).collect()} == expected
+
+
+@pytest.mark.parametrize("band", [0, near_duplicates.BANDS - 1])
+def test_no_bucket_gives_all_its_pairs(spark, monkeypatch, band):
+    texts = {i: " ".join([f"k{k}" for k in range(100)] + [f"o{i}x{k}" for k in range(40)]) for i in range(300)}
+    texts[300] = texts[200] + " more"
+    held, verified = [], near_duplicates.verified
+    monkeypatch.setattr(near_duplicates, "verified", lambda pairs, *rest: (
+        held.append(pairs.count()), verified(pairs, *rest))[1])
+    in_bands(monkeypatch, [band])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates.components(docs).collect()}
+    assert got == {i: i for i in range(300)} | {300: 200}
+    assert max(held) <= len(texts)
