@@ -36,7 +36,7 @@ def words(text: str) -> list[bytes]:
 class Block:
     """Items of a benchmark as numbers: a vocabulary, and the suffixes that begin a window."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         ids, suffix, room, width, item = [], [], [], [], []
         self.names = [name for name, _ in items]
@@ -170,7 +170,7 @@ def look_up(block: Block, texts: list[str]) -> list[tuple[int, list, list, int,
         d, k = divmod(pair, len(block.names))
         items.setdefault(d, set()).add(block.names[k])
     for d, (best, at) in _longest(block, ids, doc, np.flatnonzero(covered)).items():
-        out[d] = (out[d][0], spans[d], sorted(items[d]), best, int(place[at] - starts[d]))
+        out[d] = (out[d][0], spans[d], sorted(items[d] - {None}), best, int(place[at] - starts[d]))
     return out
 
 
@@ -204,8 +204,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """Items with an id and a text, dealt into blocks of about `block_bytes` at most."""
-    named = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(
+    """Items with a text, dealt into blocks of about `block_bytes` at most."""
+    named = items.where("text IS NOT NULL").select(
         F.col("item_id").cast("string").alias("item_id"), "text")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
@@ -218,9 +218,9 @@ def find_items(docs: DataFrame, items: DataFrame, *, window: int = WINDOW,
 
     n_words; spans, the hit words from start to before end; items, the ids of items with a
     window in the document, sorted; longest and longest_at, the longest verbatim match in
-    words, at least a window, and its first word (-1 without). A missing text has no words. Items without id, text or
-    words are in no document; an item id that comes twice counts once. Repeated rows are
-    marked each time.
+    words, at least a window, and its first word (-1 without). A missing text has no words. Items without text or
+    words are in no document; those without id count for spans and the longest match, but are
+    not in `items`. An item id that comes twice counts once. Repeated rows are marked each time.
     """
     spark = docs.sparkSession
     out = None

@@ -230,3 +230,16 @@ def test_longest_match_and_empty_tables(spark):
     assert (rows[2].longest, rows[2].longest_at) == (0, -1)
     assert decontamination.contamination(docs, items.limit(0)).where("contaminated").count() == 0
     assert decontamination.contamination(docs.limit(0), items).collect() == []
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 16])
+def test_items_without_id_count_as_passages(spark, block_bytes):
+    words = [f"w{i}" for i in range(40)]
+    items = [(None, " ".join(words[:12])), (7, " ".join(words[20:31])), (None, " ".join(words[22:33]))]
+    texts = [" ".join(words[:12]), " ".join(words), "w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(decontamination.contamination(docs, bench, block_bytes=block_bytes).collect())
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(12, 0, True), (25, 1, True), (0, 0, False)]
+    assert got[1].items_sha256 == hashlib.sha256(b"7").hexdigest()
+    assert [r.doc_id for r in decontamination.clean(docs, bench, block_bytes=block_bytes).collect()] == [2]
