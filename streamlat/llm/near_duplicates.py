@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamlat.llm.support import (WordHashes, broadcast_if_small, hashed, map_texts, mixed, runs,
+from streamlat.llm.support import (WordHashes, broadcast_if_small, hashed, map_texts, marked, mixed, runs,
                                    written)
 
 WIDTH = 5             # words of a shingle
@@ -77,6 +77,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def digest_of(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """Size, digest, signature and bands of each document's set; those without words have no bands."""
     def make():
@@ -94,7 +98,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             row = at[0] + np.arange(len(texts))
             at[0] += len(texts)
             return {"doc_id": batch.column(0), "row": row, "n_shingles": [len(s) for s in sets],
-                    "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    "digest": [digest_of(s) for s in sets],
                     "signature": [next(signed).tobytes() if f else None for f in full],
                     "bands": pa.ListArray.from_arrays(offsets, band_keys(signs).ravel())}
         return step
@@ -326,6 +330,11 @@ def components(docs: DataFrame) -> DataFrame:
     they stand for their sets. Rows without doc_id are kept, with a NULL component, and link
     nothing. Other columns are not read.
     """
+    return _rated(docs).drop("digest")
+
+
+def _rated(docs: DataFrame) -> DataFrame:
+    """What `components` gives, with the digest of each row's set."""
     sketches = written(sketch(docs), "sketch")
     classes = written(
         sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
@@ -368,18 +377,30 @@ def components(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(
         F.coalesce("component", "doc_id")).cast("long")
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"),
-                           F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+                           F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents that a smaller doc_id stands for; of repeated rows one stays."""
-    labels = components(docs)
+    """`docs` without the documents that a smaller doc_id stands for.
+
+    Of rows with one doc_id and equal sets one stays; those with other sets are judged by themselves.
+    """
+    def make():
+        hashes = WordHashes()
+
+        def step(batch, texts):
+            return {"digest": [digest_of(s) for s in shingle_sets(texts, hashes)]}
+        return step
+
+    labels = written(_rated(docs).where("doc_id IS NOT NULL").select("doc_id", "digest", "kept"), "labels")
+    again = written(labels.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+                    .select(F.col("doc_id").alias("again")), "again")
+    known = broadcast_if_small(again, 16)
     gone = written(labels.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     gone = broadcast_if_small(gone, 16)
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    again = written(labels.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-                    .where("n > 1").select(F.col("doc_id").alias("again")), "again")
-    known = broadcast_if_small(again, 16)
-    single = kept.join(known, kept["doc_id"] == known["again"], "left_anti")
-    return single.union(kept.join(known, kept["doc_id"] == known["again"], "left_semi")
-                        .dropDuplicates(["doc_id"]))
+    single = (docs.join(known, docs["doc_id"] == known["again"], "left_anti")
+              .join(gone, docs["doc_id"] == gone["gone"], "left_anti"))
+    several = marked(docs.join(known, docs["doc_id"] == known["again"], "left_semi"), "digest binary", make)
+    kept = labels.where("kept").join(known, labels["doc_id"] == known["again"], "left_semi").select("doc_id", "digest")
+    return single.union(several.withColumn("doc_id", F.col("row.doc_id")).join(kept, ["doc_id", "digest"], "left_semi")
+                        .dropDuplicates(["doc_id", "digest"]).select("row.*"))

@@ -166,3 +166,13 @@ def test_no_bucket_gives_all_its_pairs(spark, monkeypatch, band):
     got = {r.doc_id: r.component_id for r in near_duplicates.components(docs).collect()}
     assert got == {i: i for i in range(300)} | {300: 200}
     assert max(held) <= len(texts)
+
+
+def test_clashing_ids_lose_no_text(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "quite another text of words"), (3, "u v w x y"),
+            (3, "one two three four five six"), (3, "U v w x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("own"))
+    kept = near_duplicates.one_of_each(docs)
+    assert kept.dtypes == docs.dtypes
+    assert sorted((r.doc_id, r.text.lower()) for r in kept.collect()) == [
+        (1, "a b c d e f"), (2, "quite another text of words"), (3, "one two three four five six"), (3, "u v w x y")]
