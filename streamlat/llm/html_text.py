@@ -30,6 +30,7 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = set("script style template noscript iframe object svg math canvas audio video title "
              "textarea select datalist head".split())
+RAW = set("script style title textarea iframe".split())  # run to the end of the page if never closed
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset "
              "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main "
              "menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -81,10 +82,13 @@ def sign_of(tag: str, attributes: str, above: Element | None) -> int:
         return -1
     good = tag in GOOD_TAGS
     if attributes:
-        names = {p.lower() for m in NAMES.finditer(attributes)
-                 for p in PARTS.findall(m[1] or m[2] or m[3] or "")}
+        each = [{p.lower() for p in PARTS.findall(name)} for m in NAMES.finditer(attributes)
+                for name in (m[1] or m[2] or m[3] or "").split()]
+        names = set().union(*each)
         if names & BAD_NAMES and not (good and "comment" not in names and "comments" not in names):
-            if not names & GOOD_NAMES:
+            # comment-body and comment content are boilerplate, main-content has-sidebar is not.
+            if (any(n and n <= BAD_NAMES for n in each)
+                    or not any(n & GOOD_NAMES and not n & BAD_NAMES for n in each)):
                 return -1
         good = good or bool(names & GOOD_NAMES)
     return 1 if good or before > 0 else 0
@@ -100,7 +104,7 @@ class Reader:
         self.in_link, self.link_chars = 0, 0
 
     def read(self, page: str) -> list[Block]:
-        at = 0
+        at, unclosed = 0, set()
         while at < len(page):
             found = TAG.search(page, at)
             if found is None:
@@ -118,10 +122,17 @@ class Reader:
                 self.border(tag)
                 if found[3].rstrip().endswith("/"):
                     continue
-                # Up to its end; an element that never ends takes the rest, but for the head.
+                if tag in unclosed:
+                    continue
+                # Up to its end; one that never ends takes the rest if its content is raw text.
                 close = re.compile(f"</{re.escape(tag)}\\b[^>]*>?" + ("|(?=<body\\b)" if tag == "head" else ""), re.I)
                 end = close.search(page, at)
-                at = end.end() if end else len(page)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
                 continue
             self.start(tag, found[3])
         self.flush()

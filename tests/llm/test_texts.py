@@ -243,3 +243,17 @@ def test_items_without_id_count_as_passages(spark, block_bytes):
     assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(12, 0, True), (25, 1, True), (0, 0, False)]
     assert got[1].items_sha256 == hashlib.sha256(b"7").hexdigest()
     assert [r.doc_id for r in decontamination.clean(docs, bench, block_bytes=block_bytes).collect()] == [2]
+
+
+@pytest.mark.parametrize("name", ["comment-body", "sidebar-content", "footer-text", "ad-content", "main-menu", "comment content"])
+def test_bad_names_win(name):
+    text = "Words that a reader wrote below the page. " * 3
+    page = f"<body><article><p>The story.</p></article><div class='{name}'><p>{text}</p></div></body>"
+    assert content(page) == ["The story."]
+    assert content("<div class='main-content has-sidebar'><p>The story.</p></div>") == ["The story."]
+
+
+@pytest.mark.parametrize("tag", ["select", "svg", "object", "audio", "math", "video", "template", "head"])
+def test_silent_elements_without_end_do_not_take_the_page(tag):
+    assert content(f"<article><{tag}><p>The story.</p></article>") == ["The story."]
+    assert content("<article><p>x</p><script><p>no</p></article>") == ["x"]
