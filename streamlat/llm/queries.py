@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlat.llm import (arrow_files, decontamination, dialogue, html_text, language, near_duplicates, packing,
-                           personal_data, quality, token_counts)
-from streamlat.llm.support import read
+from streamlat.llm import (arrow_files, decontamination, dialogue, exact_copies, hard_negatives, html_text, language,
+                           near_duplicates, packing, periodic_runs, personal_data, quality, token_counts)
+from streamlat.llm.support import read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +132,58 @@ def languages(spark, directory):
     docs = read(spark, directory, "documents")
     found = language.predict(docs, language.train(docs))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def with_cycle(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten from a place on repeated with a period, both drawn from its doc_id."""
+    n = len(words)
+    drawn = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if drawn % 10 or not n:
+        return words
+    rest = drawn // 10
+    start = rest % n
+    period = 1 + (n - start) // (3 + rest % 8)
+    return words[:start] + [words[start + k % period] for k in range(n - start)]
+
+
+@query("op11_periodic_runs")
+def runs_of_words(spark, directory):
+    return periodic_runs.summary(periodic_runs.find(read(spark, directory, "documents"), prepare=with_cycle))
+
+
+@query("op12_hard_negatives", """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.vector, r.vector), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM usable a JOIN usable r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM scores JOIN positives USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""")
+def negatives(spark, directory):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(read(spark, directory, "embeddings").withColumn("label", label))
+    return hard_negatives.mine(written(rows, "vectors"), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_exact_copies", """
+WITH texts AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents),
+groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256
+FROM texts JOIN groups USING (text)""")
+def copies(spark, directory):
+    found = exact_copies.deduplicate(spark, f"{directory}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
