@@ -5,12 +5,11 @@ signatures are candidates. A pair of candidates is compared batch by batch of si
 positions and dropped once the posterior chance that it is similar enough falls below the
 miss probability; survivors are confirmed on their full sets. Links join nodes to components.
 
-Large buckets never give all their pairs. First each node is held against one node of each
-of its buckets, in rounds with other such nodes; what is joined by then needs no further
-pair. In what is still mixed, the few nodes outside the largest component are held against
-the others. Where these are many, the full sets decide which pairs are left: the shingles of
-all such nodes are put in one order, rare ones first, and the first shingle that two similar
-sets have in common is near the front of both. No pair that may be similar is left out.
+Large buckets never give all their pairs. First each node is held against the smallest node
+of each of its buckets; what is joined by then needs no further pair. In buckets that are
+still mixed the full sets decide which pairs are left: the shingles of all their nodes are put
+in one order, rare ones first, and the first shingle that two similar sets have in common is
+near the front of both. No pair that may be similar is left out.
 """
 
 from __future__ import annotations
@@ -23,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamlat.llm.support import (WordHashes, broadcast_if_small, hashed, map_texts, marked, mixed, runs,
-                                   written)
+from streamlat.llm.support import (BROADCAST_BYTES, WordHashes, broadcast_if_small, hashed, map_texts, marked, mixed,
+                                   runs, written)
 
 WIDTH = 5             # words of a shingle
 SIMILAR = (75, 100)   # links: 100 * intersection >= 75 * union
 ROWS, BANDS = 4, 40   # a pair of similarity 0.75 misses all bands with a chance of 3e-7
 COMPARED = 32         # signature positions of a step of verification
 MISS = 1e-6           # chance to drop a similar pair in verification
-FEW = 32              # nodes of a bucket that may be held against all others
-ROUNDS = 3            # of holding each node against one node of each bucket
 SLOTS = 18            # bits of a shingle's hash by which its frequency is counted
+SIGNED_BYTES = 2 * ROWS * BANDS + 64  # of a pair with one signature
+EDGES = 500_000       # edges that a task takes at least, whatever the shuffle width
 BLOCK = 512           # nodes that a task holds against all others of a group
 
 SKETCH = "doc_id long, row long, n_shingles long, digest binary, signature binary, bands array<long>"
@@ -122,7 +121,7 @@ def least_matches(steps: int, similar: float, miss: float) -> list[int]:
     return least
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs (a, b) that the comparison of signatures does not rule out."""
     def run(batches):
         steps = ROWS * BANDS // COMPARED
@@ -137,9 +136,10 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 alive = alive[equal[alive] >= least[step]]
             yield batch.select([0, 1]).take(pa.array(alive))
 
-    signed = nodes.select("node", "signature")
-    both = (pairs.join(signed.toDF("a", "sign_a"), "a").join(signed.toDF("b", "sign_b"), "b")
-            .select("a", "b", "sign_a", "sign_b"))
+    one = signed.toDF("a", "sign_a").join(broadcast_if_small(pairs, 32), "a")
+    if pairs.count() * SIGNED_BYTES <= BROADCAST_BYTES:
+        one = F.broadcast(one)
+    both = signed.toDF("b", "sign_b").join(one, "b").select("a", "b", "sign_a", "sign_b")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -157,8 +157,11 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return map_texts(named, "node long, items binary", make).distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are links, written."""
+def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Those of the pairs (a, b) that are links, written.
+
+    `signed` has the signature of each node, `sets` the full sets of all nodes in question if they are there.
+    """
     def run(batches):
         least, most = SIMILAR
         for batch in batches:
@@ -170,14 +173,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep[i] = most * same >= least * ((len(x) + len(y)) // 8 - same)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    likely = written(_plausible(pairs, nodes), "likely")
+    likely = written(_plausible(written(pairs, "pairs"), signed), "likely")
     if likely.isEmpty():
         return likely
-    ids = written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
-    sets = written(_sets(docs, ids), "sets")
-    both = (likely.join(sets.toDF("a", "items_a"), "a").join(sets.toDF("b", "items_b"), "b")
-            .select("a", "b", "items_a", "items_b"))
-    return written(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    if sets is None:
+        sets = written(_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    both = (sets.toDF("a", "items_a").join(broadcast_if_small(likely, 32), "a")
+            .join(sets.toDF("b", "items_b"), "b").select("a", "b", "items_a", "items_b"))
+    return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -191,13 +194,16 @@ def connected(links: DataFrame) -> DataFrame:
     while before != (now := edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")))
                      .first()):
         before = now
+        # No node more than there are edges, twice; the joins move no edge if that is little.
+        near = F.broadcast if 2 * now[0] * 32 <= BROADCAST_BYTES else lambda df: df
+        tasks = 1 + 2 * now[0] // EDGES
         both = edges.union(edges.select("u", "v"))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = (both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-                 .distinct())
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = (large.join(least, "v").select(F.col("u").alias("v"), "m").where("v <> m")
-                 .union(least).distinct().toDF("v", "u"))
+        least = both.groupBy("v").agg(F.min("u").alias("m")).select(
+            "v", F.least("v", "m").alias("m")).coalesce(tasks)
+        large = both.join(near(least), "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        least = large.groupBy("v").agg(F.min("u").alias("m")).coalesce(tasks)
+        small = (large.join(near(least), "v").select(F.col("u").alias("v"), "m").where("v <> m")
+                 .union(least).distinct().coalesce(tasks).toDF("v", "u"))
         edges = written(small, "edges")
     return edges.toDF("node", "component")
 
@@ -208,6 +214,14 @@ def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
             .withColumn("c", F.coalesce("found", "node")).drop("found"))
 
 
+def _undecided(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The nodes of buckets with several components, written."""
+    labelled = _labelled(members, components)
+    keys = written(labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+                   .where("low < high").select("key"), "keys")
+    return written(labelled.join(broadcast_if_small(keys, 16), "key", "left_semi").select("node").distinct(), "mixed")
+
+
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members of buckets with several components: with `major`, the largest, and `few`, how many are outside."""
     labelled = _labelled(members, components)
@@ -218,17 +232,6 @@ def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     return labelled.join(kinds, "key")
 
 
-def _around(members: DataFrame, components: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each node with one node of each of its buckets, where their components differ."""
-    labelled = _labelled(members.drop("center"), components)
-    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    centers = (labelled.groupBy("key").agg(
-        F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("node", order).alias("center"),
-        F.min_by("c", order).alias("other")).where("low < high").select("key", "center", "other"))
-    return (labelled.join(centers, "key").where("c <> other")
-            .select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct())
-
-
 def _across(members: DataFrame, fits: str = "true") -> DataFrame:
     """Pairs of the nodes outside the largest component of a group with all others of it.
 
@@ -277,10 +280,9 @@ def fronts(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
 FITS = f"{sum(SIMILAR)} * least(left, left_x) >= {SIMILAR[0]} * (n + n_x)"
 
 
-def _fronts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(key, node, n, left): the fronts of the nodes in `ids`, as groups by shingle."""
-    sets = written(_sets(docs, ids), "sets")
-    counts = docs.sparkSession.sparkContext.broadcast(_frequencies(sets))
+def _fronts(sets: DataFrame) -> DataFrame:
+    """(key, node, n, left): the fronts of the sets, as groups by shingle."""
+    counts = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
 
     def run(batches):
         for batch in batches:
@@ -300,10 +302,9 @@ def _fronts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return sets.select("node", "items").mapInArrow(run, "key long, node long, n int, left int")
 
 
-def _left_over(members: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
-    """All pairs of the members that may be similar and are not in one component, by their full sets."""
-    ids = written(members.select("node").distinct(), "many")
-    fronts_ = _labelled(written(_fronts(docs, ids), "fronts"), components)
+def _left_over(sets: DataFrame, components: DataFrame) -> DataFrame:
+    """All pairs of the nodes that may be similar and are not in one component, by their full sets."""
+    fronts_ = _labelled(written(_fronts(sets), "fronts"), components)
     least, most = SIMILAR
     # The smaller set of a pair shares at least this much of itself.
     near = F.max(F.col("left") * (least + most) >= 2 * least * F.col("n"))
@@ -315,9 +316,9 @@ def _left_over(members: DataFrame, components: DataFrame, docs: DataFrame) -> Da
 
 def _shared(bands: DataFrame) -> DataFrame:
     """Members of buckets with two nodes or more, with the smallest of each bucket."""
-    counts = (bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
-              .where("center < last").select("key", "center"))
-    return bands.join(counts, "key").select("key", "node", "center")
+    buckets = written(bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
+                      .where("center < last").select("key", "center"), "buckets")
+    return bands.join(broadcast_if_small(buckets, 24), "key").select("key", "node", "center")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -341,33 +342,20 @@ def _rated(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n"))
         .select("digest", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row"), "n"),
         "classes")
-    nodes = sketches.join(broadcast_if_small(classes.select("row", "node"), 32), "row").select(
-        "node", "signature", "bands")
-    bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = written(_shared(bands), "shared")
+    nodes = sketches.join(broadcast_if_small(classes.select("row", "node"), 32), "row")
+    signed = nodes.select("node", "signature")
+    shared = written(_shared(nodes.select("node", F.explode("bands").alias("key"))), "shared")
     named = docs.where("doc_id IS NOT NULL")
 
-    # The smallest node among all that a node shares a bucket with, at most one pair a node.
-    pairs = (shared.where("node <> center").groupBy("node").agg(F.min("center").alias("a"))
-             .select("a", F.col("node").alias("b")))
-    links = verified(pairs, nodes, named)
+    stars = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    links = verified(stars, signed, named)
     found = connected(links)
-    for turn in range(ROUNDS):
-        more = verified(_around(shared, found, turn), nodes, named)
-        if not more.isEmpty():
-            links = written(links.union(more), "links")
-            found = connected(links)
-    members = written(_mixed(shared.drop("center"), found), "members")
-    more = verified(_across(members.where(f"few <= {FEW}")), nodes, named)
-    if not more.isEmpty():
-        links = written(links.union(more), "links")
-        found = connected(links)
-    members = written(_mixed(members.where(f"few > {FEW}").select("key", "node"), found), "members")
-    if not members.isEmpty():
-        more = verified(_left_over(members, found, named), nodes, named)
+    ids = _undecided(shared.select("key", "node"), found)
+    if not ids.isEmpty():
+        sets = written(_sets(named, ids), "sets")
+        more = verified(_left_over(sets, found), signed, named, sets)
         if not more.isEmpty():
-            links = written(links.union(more), "links")
-            found = connected(links)
+            found = connected(more.union(found.toDF("a", "b")))
 
     named_classes = (classes.join(broadcast_if_small(found, 32), "node", "left")
                      .where("n > 1 OR component IS NOT NULL")

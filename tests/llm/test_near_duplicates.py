@@ -72,13 +72,6 @@ def test_components(spark, family):
     assert got == brute_components(family)
 
 
-def test_large_mixed_buckets_are_split(spark, family, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "FEW", 3)
-    docs = spark.createDataFrame(list(family.items()), "doc_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in near_duplicates.components(docs).collect()}
-    assert got == brute_components(family)
-
-
 def test_repeated_rows_and_rows_without_id(spark):
     rows = [(2, "a b c d e f"), (2, "a b c d e f"), (1, "A b c d e f"), (None, "a b c d e f"), (None, None), (3, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1))
@@ -154,6 +147,17 @@ def test_pairs_whose_shared_bands_are_all_hot(spark, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in near_duplicates.components(docs).collect()} == expected
 
 
+def test_variants_of_one_text_are_few_pairs(spark, monkeypatch):
+    choose, origin = random.Random(4), [f"o{k}" for k in range(120)]
+    texts = {i: " ".join(changed(origin, choose.randint(0, 12), choose)) for i in range(600)}
+    held, verified = [], near_duplicates.verified
+    monkeypatch.setattr(near_duplicates, "verified", lambda pairs, *rest: (
+        held.append(pairs.count()), verified(pairs, *rest))[1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in near_duplicates.components(docs).collect()} == brute_components(texts)
+    assert len(held) <= 2 and sum(held) <= 20 * len(texts)
+
+
 @pytest.mark.parametrize("band", [0, near_duplicates.BANDS - 1])
 def test_no_bucket_gives_all_its_pairs(spark, monkeypatch, band):
     texts = {i: " ".join([f"k{k}" for k in range(100)] + [f"o{i}x{k}" for k in range(40)]) for i in range(300)}
