@@ -12,18 +12,21 @@ them, must be one text. Texts that are different in spite of one digest are told
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlat.llm.support import broadcast_if_small, remove_at_exit, written
+from streamlat.llm.support import broadcast_if_small, remove_at_exit, settings, written
 from streamlat.session import new_dir
 
 FILES = 1000  # of a batch
 
-STORE = {"spark.sql.streaming.stateStore.providerClass":
-         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Else each partition of the state takes some MB of disk before it holds anything.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,19 +43,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """The session with these settings, which are put back at the end."""
-    before = {key: spark.conf.get(key, None) for key in values}
-    for key, value in values.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def _rows(docs: DataFrame, digest: Callable[[Column], Column], *, with_text: bool = False) -> DataFrame:
     """doc_id, digest, file and row of each row, and its normalised text if asked for."""
     place = docs.metadataColumn("_metadata")

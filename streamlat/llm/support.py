@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,31 @@ from pyspark.sql import functions as F
 
 from streamlat.session import new_dir
 
-# Bytes of text that a task holds as Python objects at a time.
+# Bytes of text that a task holds as Python objects at a time, as pieces and as whole texts.
 SLICE_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 # Bytes that may be broadcast; what is larger takes a shuffle or goes in blocks.
 BROADCAST_BYTES = 32 << 20
 
 
+# Rows that go to a Python worker at a time while a step is written.
+WRITTEN_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with these settings, which are put back at the end."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A table of parquet files, by any path that Spark can open."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -32,7 +51,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.parquet(path)
+    with settings(spark, WRITTEN_BATCHES):
+        df.write.parquet(path)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,12 +69,13 @@ def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Each batch in runs of rows with about `SLICE_BYTES` of text."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
+           size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Each batch in runs of rows with about `size` bytes of text."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
-        part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+        part = (np.cumsum(sizes) - sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:]):
             if end > start:
@@ -64,7 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 def text_slices(batches: Iterator[pa.RecordBatch],
                 column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The slices with their texts; a missing text is empty."""
-    for batch in slices(batches, column):
+    for batch in slices(batches, column, TEXT_BYTES):
         texts = batch.column(batch.schema.get_field_index(column))
         yield batch, [t or "" for t in texts.to_pylist()]
 
@@ -127,7 +148,7 @@ def marked(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFram
 class WordHashes(dict):
     """64-bit hash of a word in bytes; holds a bounded number of words."""
 
-    most = 400_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
