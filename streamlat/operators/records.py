@@ -30,6 +30,15 @@ def parse_lines(df: DataFrame, *, lenient: bool = False) -> DataFrame:
     return parsed.where(F.col("seq").isNotNull() & F.col("created_ms").isNotNull())
 
 
+def judged_lines(df: DataFrame) -> DataFrame:
+    """All lines with `seq` and `created_ms`, NULL where they do not parse, and whether both are there."""
+    line = F.col("line")
+    seq, created_ms = lines.parse_seq(line, lenient=True), lines.parse_created_ms(line, lenient=True)
+    # Behind a generator no later filter parses the line again.
+    parsed = df.select("*", F.inline(F.array(F.struct(seq.alias("seq"), created_ms.alias("created_ms")))))
+    return parsed.withColumn("accepted", F.col("seq").isNotNull() & F.col("created_ms").isNotNull())
+
+
 def rejected_lines(df: DataFrame) -> DataFrame:
     """The lines lenient parsing leaves out."""
     line = F.col("line")

@@ -9,6 +9,16 @@ from streamlat.functions.exact import exact_sum, integer_mean
 from streamlat.functions.lines import format_result
 
 
+# Milliseconds of the units that a width may have.
+UNITS = {"millisecond": 1, "second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+
+
+def milliseconds(width: str) -> int:
+    """A width such as `6 hours` in milliseconds."""
+    n, unit = width.split()
+    return int(n) * UNITS[unit.removesuffix("s")]
+
+
 def created_time() -> Column:
     """Event time of a record: when it was created."""
     return F.timestamp_millis(F.col("created_ms"))
@@ -21,9 +31,11 @@ def arrival_time() -> Column:
 
 def window_sums(df: DataFrame, width: str, *, time: Column | None = None,
                 lateness: str | None = None, key: str = "parity",
-                totals: tuple[str, ...] = ()) -> DataFrame:
+                totals: tuple[str, ...] = (), start_ms: int = 0) -> DataFrame:
     """Count and sums per tumbling window of `width` and key.
 
+    Windows are counted from the instant `start_ms`, say that of a job's start, and not from 1970.
+
     `time` is created_time() (default) or arrival_time(). On a stream, `lateness` is how
     long a window waits for late records before it is closed and its state dropped.
     Columns named in `totals` are summed as well.
@@ -35,7 +47,8 @@ def window_sums(df: DataFrame, width: str, *, time: Column | None = None,
     if df.isStreaming and lateness is not None:
         df = df.withColumn("event_time", time).withWatermark("event_time", lateness)
         time = F.col("event_time")
-    window = F.window(time, width)
+    # The offset of a window must be less than its width.
+    window = F.window(time, width, startTime=f"{start_ms % milliseconds(width)} milliseconds")
     # State is dropped by the window's end, so a stream groups by the whole window.
     # A table groups by its start, which is half as much to hash and compare.
     group = window if df.isStreaming else window["start"]

@@ -6,6 +6,7 @@ session and the folder with the tables.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from streamlat.functions import clock
 from streamlat.functions.digits import digit_sum
 from streamlat.functions.lines import format_result
-from streamlat.operators import latency, parity, records, windows
+from streamlat.operators import latency, parity, records, sketches, windows
 from streamlat.plans import measured
 from streamlat.plans.parity_windows import parity_mean, throughput, window_results
 from streamlat.plans.record_latency import record_latency
@@ -24,7 +25,10 @@ from streamlat.sinks.kafka import kafka_rows
 from streamlat.sources import load, tables
 from streamlat.sources.files import text_lines
 from streamlat.sources.kafka import result_lines
-from streamlat.streaming.run import replay
+from streamlat.streaming.clock_windows import clock_window_sums
+from streamlat.streaming.run import replay, run_batches, start
+from streamlat.streaming.state import open_windows
+from streamlat.streaming.timer_windows import timer_window_sums
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -268,13 +272,14 @@ def _(spark, directory):
 
 @register("arrival_windows", f"""
 SELECT {PARITY.format(seq="seq", odd="odd", even="even")} AS parity, count(*) AS n,
-       CAST(sum(created_ms) AS VARCHAR) AS sum_created_ms
+       CAST(sum(created_ms) AS VARCHAR) AS sum_created_ms, TRUE AS aligned
 FROM lines GROUP BY ALL""")
 def _(spark, directory):
     # All rows of a batch query arrive in one window; which one is up to the clock.
     return (_records(spark, directory).transform(parity.with_parity)
             .transform(windows.window_sums, "2 seconds", time=windows.arrival_time())
-            .select("parity", "n", F.col("sum_created_ms").cast("string")))
+            .select("parity", "n", F.col("sum_created_ms").cast("string"),
+                    (F.col("window_start_ms") % 2_000 == 0).alias("aligned")))
 
 
 # --- latency -----------------------------------------------------------------------
@@ -382,6 +387,61 @@ def _(spark, directory):
     return _ramp_load(spark, directory, UNEVEN_RAMP)
 
 
+# As a table of steps, long ones in parts, and one with a step for nearly each record.
+FINE_RAMP = {"start_ns": 10_000_000, "min_ns": 1_000, "step_s": 0, "percent": 0.00001}
+
+
+def _ramp_table(spark: SparkSession, directory: str, ramp: dict) -> DataFrame:
+    records = tables.table(spark, directory, "events").count()
+    return load.ramp_lines(spark, **ramp, t0_ms=LOAD_START, records=records)
+
+
+@register("ramp_table", _ramp_sql(**UNEVEN_RAMP))
+def _(spark, directory):
+    return _ramp_table(spark, directory, UNEVEN_RAMP)
+
+
+@register("ramp_table_fine", _ramp_sql(**FINE_RAMP))
+def _(spark, directory):
+    return _ramp_table(spark, directory, FINE_RAMP)
+
+
+# --- quantiles of latency ----------------------------------------------------------
+
+# A sketch's quantile may be off by this share of the rows of its window, and one row.
+RANK_ERROR = 0.03
+NEAR = ", ".join(f"TRUE AS p{q * 100:g}_near" for q in sketches.QUANTILES)
+
+
+def _stamped(lines: DataFrame) -> DataFrame:
+    return (lines.transform(records.parse_lines).transform(parity.with_parity)
+            .transform(latency.stamp_latency, _now()))
+
+
+def _near(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Whether the true ranks of each window's quantiles are within the bound."""
+    names = [f"p{q * 100:g}" for q in sketches.QUANTILES]
+    start = F.unix_millis(F.window(windows.created_time(), WIDE_WINDOW)["start"]).alias("window_start_ms")
+    rows = exact.select(start, "parity", "latency_ms").join(
+        found.withColumnRenamed("n", "rows"), ["window_start_ms", "parity"])
+    slack = RANK_ERROR * F.col("n") + 1
+    counted = rows.groupBy("window_start_ms", "parity").agg(
+        F.count(F.lit(1)).alias("n"), F.max("rows").alias("rows"),
+        *[F.count_if(F.col("latency_ms") < F.col(p)).alias(f"{p}_below") for p in names],
+        *[F.count_if(F.col("latency_ms") <= F.col(p)).alias(f"{p}_to") for p in names])
+    return counted.select("window_start_ms", "parity", F.col("rows").alias("n"), *[
+        ((F.col(f"{p}_below") - slack <= q * F.col("n")) & (q * F.col("n") <= F.col(f"{p}_to") + slack))
+        .alias(f"{p}_near") for p, q in zip(names, sketches.QUANTILES)])
+
+
+# Sketches of hours, put together to windows of six hours.
+@register("latency_quantiles", _window_sql(f"window_start_ms, parity, n, {NEAR}", width_ms=SIX_HOURS))
+def _(spark, directory):
+    stamped = _stamped(_lines(spark, directory))
+    hours = sketches.latency_sketches(stamped, "1 hour")
+    return _near(sketches.quantiles(sketches.wider(hours, SIX_HOURS)), stamped)
+
+
 # --- the five queries --------------------------------------------------------------
 
 
@@ -420,6 +480,19 @@ def _(spark, directory):
     return parity_mean(_lines(spark, directory), width=WIDE_WINDOW, now=_now()).select(RESULT_COLUMNS)
 
 
+# Windows counted from 700 ms after a full second, as by a job that began then.
+@register("parity_mean_from_start_2s", f"""
+SELECT created_ms - (created_ms - 700) % 2000 AS window_start_ms,
+       {PARITY.format(seq="seq", odd="odd", even="even")} AS parity, count(*) AS n,
+       CAST(sum(seq) AS VARCHAR) AS sum_seq, CAST(sum(created_ms) AS VARCHAR) AS sum_created_ms
+FROM lines GROUP BY ALL""")
+def _(spark, directory):
+    sums = (_records(spark, directory).transform(parity.with_parity)
+            .transform(windows.window_sums, "2 seconds", start_ms=LOAD_START + 700))
+    return sums.select("window_start_ms", "parity", "n", F.col("sum_seq").cast("string"),
+                       F.col("sum_created_ms").cast("string"))
+
+
 @register("parity_mean_two_branch_6h", _window_sql(RESULTS, width_ms=SIX_HOURS))
 def _(spark, directory):
     return (_records(spark, directory).transform(parity.label_union)
@@ -476,6 +549,25 @@ def _windows_so_far(spark: SparkSession, results: DataFrame) -> DataFrame:
     return file_sinks.latest_windows(spark, path, "window_start_ms", "parity")
 
 
+def _totals(closed: DataFrame, width_ms: int) -> DataFrame:
+    """Records and sums of all windows by parity, and whether each window begins at a multiple of its width."""
+    return closed.groupBy("parity").agg(
+        F.sum("n").alias("n"),
+        F.sum("sum_created_ms").cast("decimal(38,0)").cast("string").alias("sum_created_ms"),
+        F.bool_and(F.col("window_start_ms") % width_ms == 0).alias("aligned"))
+
+
+def _line_files(lines: DataFrame, path: str, files: int = 3) -> None:
+    """Add the lines to text files in `path`, ordered by their sequence number."""
+    seq = F.split_part("line", F.lit(" "), F.lit(1)).cast("long")
+    (lines.withColumn("seq", seq).repartitionByRange(files, "seq").sortWithinPartitions("seq")
+     .select("line").write.mode("append").text(path))
+
+
+def _file_stream(spark: SparkSession, path: str) -> DataFrame:
+    return text_lines(spark, path, streaming=True, max_files_per_trigger=1)
+
+
 @register("stream_record_latency", _RECORD_SQL.format(line="line", end=""))
 def _(spark, directory):
     path = new_dir(spark, "records")
@@ -512,15 +604,12 @@ def _(spark, directory):
 
 @register("stream_arrival_windows", f"""
 SELECT {PARITY.format(seq="seq", odd="odd", even="even")} AS parity, count(*) AS n,
-       CAST(sum(created_ms) AS VARCHAR) AS sum_created_ms
+       CAST(sum(created_ms) AS VARCHAR) AS sum_created_ms, TRUE AS aligned
 FROM lines GROUP BY ALL""")
 def _(spark, directory):
     results = parity_mean(_stream(spark, directory), time=windows.arrival_time(),
                           lateness="0 seconds")
-    return (_windows_so_far(spark, results).groupBy("parity")
-            .agg(F.sum("n").alias("n"),
-                 F.sum("sum_created_ms").cast("decimal(38,0)").cast("string")
-                  .alias("sum_created_ms")))
+    return _totals(_windows_so_far(spark, results), 2_000)
 
 
 @register("stream_text_files_6h", _window_sql(RESULTS, width_ms=SIX_HOURS))
@@ -567,3 +656,116 @@ def _(spark, directory):
         stream, half(0, parity.filter_odd, parity.MEAN_LABELS.odd),
         half(1, parity.filter_even, parity.MEAN_LABELS.even)))
     return spark.read.parquet(path).select("seq", "created_ms", "parity")
+
+
+# --- several batches, restarts, the clock ------------------------------------------
+
+
+# One file a batch, so windows change in several batches.
+@register("stream_parity_mean_batches_6h", _window_sql(RESULTS, width_ms=SIX_HOURS))
+def _(spark, directory):
+    path = new_dir(spark, "lines")
+    _line_files(_lines(spark, directory), path, 5)
+    results = parity_mean(_file_stream(spark, path), width=WIDE_WINDOW, now=_now())
+    return _windows_so_far(spark, results.select(RESULT_COLUMNS))
+
+
+# Stopped after half of the records: what the state holds then, and the windows after the other half.
+@register("stream_open_windows", f"""
+WITH {LINES},
+early AS (SELECT * FROM lines WHERE seq < (SELECT count(*) // 2 FROM lines))
+SELECT 'open' AS phase, * FROM ({_window_sql(SUMS, width_ms=SIX_HOURS, source="early")})
+UNION ALL SELECT 'final', * FROM ({_window_sql(SUMS, width_ms=SIX_HOURS)})""")
+def _(spark, directory):
+    path, checkpoint, out, held = (new_dir(spark, name) for name in ("lines", "checkpoint", "windows", "open"))
+    lines = _lines(spark, directory)
+    early = F.split_part("line", F.lit(" "), F.lit(1)).cast("long") < F.lit(lines.count() // 2)
+
+    def run():
+        results = parity_mean(_file_stream(spark, path), width=WIDE_WINDOW, now=_now())
+        replay(spark, file_sinks.to_window_table(results, out), checkpoint=checkpoint, state_partitions=4)
+
+    _line_files(lines.where(early), path)
+    run()
+    open_windows(spark, checkpoint).write.parquet(held)
+    _line_files(lines.where(~early), path)
+    run()
+    final = file_sinks.latest_windows(spark, out, "window_start_ms", "parity")
+    both = [df.transform(windows.partial_line).select(F.lit(phase).alias("phase"), "window_start_ms", "parity", "n", "line")
+            for phase, df in (("open", spark.read.parquet(held)), ("final", final))]
+    return both[0].union(both[1])
+
+
+# Stopped after two batches of fixed size, and gone on with to the end.
+@register("stream_constant_rate", f"{LOAD} SELECT line FROM load")
+def _(spark, directory):
+    path, checkpoint = new_dir(spark, "load"), new_dir(spark, "checkpoint")
+    wanted = tables.table(spark, directory, "events").count()
+    for batches in (2, 5):
+        lines = load.replayable_lines(spark, -(-wanted // 5), load.constant_steps(PACE_NS), LOAD_START)
+        run_batches(spark, file_sinks.to_table(lines, path), batches, checkpoint=checkpoint)
+    # The stream has no end, so it may have begun a further batch.
+    return spark.read.parquet(path).where(F.split_part("line", F.lit(" "), F.lit(1)).cast("long") < wanted)
+
+
+@register("stream_accepted_and_rejected", f"""
+SELECT CASE event_type WHEN 'error' THEN CAST(seq AS VARCHAR) WHEN 'view' THEN replace(line, ' ', '  ')
+       WHEN 'signup' THEN line || chr(13) WHEN 'purchase' THEN '+' || line || ' x' ELSE line END AS line,
+       event_type NOT IN ('error', 'view', 'signup') AS accepted,
+       CASE WHEN event_type NOT IN ('error', 'view', 'signup') THEN seq END AS seq FROM lines""")
+def _(spark, directory):
+    path, good, bad = (new_dir(spark, name) for name in ("lines", "accepted", "rejected"))
+    # A line with a carriage return in it would be two in a text file.
+    _mixed_lines(spark, directory).repartition(3).write.parquet(path)
+    stream = (spark.readStream.schema("line string").option("maxFilesPerTrigger", 1).parquet(path))
+    replay(spark, file_sinks.to_accepted_and_rejected(stream, good, bad))
+    none = F.lit(None).cast("long").alias("seq")
+    return (spark.read.parquet(good).select("line", F.lit(True).alias("accepted"), "seq")
+            .union(spark.read.parquet(bad).select("line", F.lit(False).alias("accepted"), none)))
+
+
+@register("stream_latency_quantiles", _window_sql(f"window_start_ms, parity, n, {NEAR}", width_ms=SIX_HOURS))
+def _(spark, directory):
+    path = new_dir(spark, "lines")
+    _line_files(_lines(spark, directory), path)
+    made = sketches.latency_sketches(_stamped(_file_stream(spark, path)), WIDE_WINDOW)
+    return _near(sketches.quantiles(_windows_so_far(spark, made)), _stamped(_lines(spark, directory)))
+
+
+def _closed_by_the_clock(spark: SparkSession, directory: str, close: Callable, width_ms: int) -> DataFrame:
+    """Totals of windows of arrival that nothing but the clock closes; an error if some do not close."""
+    path, out = new_dir(spark, "lines"), new_dir(spark, "closed")
+    lines = _lines(spark, directory)
+    _line_files(lines, path)
+    labelled = _file_stream(spark, path).transform(records.parse_lines).transform(parity.with_parity)
+    query = start(spark, file_sinks.to_table(close(labelled), out), interval_ms=200, state_partitions=2)
+    wanted, deadline = lines.count(), time.monotonic() + 240
+    try:
+        while True:
+            if query.exception() is not None:
+                raise query.exception()
+            done = [p.batchId for p in query.recentProgress]
+            if done and (closed := spark.read.schema("n long").parquet(out).agg(F.sum("n")).first()[0]) == wanted:
+                break
+            if time.monotonic() > deadline:
+                raise TimeoutError(f"{closed} of {wanted} records are in closed windows")
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    return _totals(spark.read.parquet(out), width_ms)
+
+
+_TOTALS_SQL = f"""
+SELECT {PARITY.format(seq="seq", odd="odd", even="even")} AS parity, count(*) AS n,
+       CAST(sum(created_ms) AS VARCHAR) AS sum_created_ms, TRUE AS aligned
+FROM lines GROUP BY ALL"""
+
+
+@register("stream_clock_windows", _TOTALS_SQL)
+def _(spark, directory):
+    return _closed_by_the_clock(spark, directory, lambda df: clock_window_sums(df, "2 seconds"), 2_000)
+
+
+@register("stream_timer_windows", _TOTALS_SQL)
+def _(spark, directory):
+    return _closed_by_the_clock(spark, directory, lambda df: timer_window_sums(df, 2_000), 2_000)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from streamlat.operators.parity import share
+from streamlat.operators.records import judged_lines
 
 
 def to_text_log(results: DataFrame, path: str, column: str = "result") -> DataStreamWriter:
@@ -68,3 +69,22 @@ def to_each(results: DataFrame, *writers: Callable[[DataFrame, int], None]) -> D
             shared.unpersist()
 
     return results.writeStream.outputMode("append").foreachBatch(write)
+
+
+def to_accepted_and_rejected(lines: DataFrame, accepted: str, rejected: str) -> DataStreamWriter:
+    """Parse each batch of lines once: records to parquet below `accepted`, lines that do not parse below `rejected`.
+
+    Further columns of the source, an offset say, stay beside the line on both sides. A batch that is run again
+    writes over its own two folders.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        both = share(judged_lines(batch))
+        try:
+            (both.where("accepted").drop("accepted").write.mode("overwrite")
+             .parquet(f"{accepted}/batch_id={batch_id}"))
+            (both.where("NOT accepted").drop("accepted", "seq", "created_ms").write.mode("overwrite")
+             .parquet(f"{rejected}/batch_id={batch_id}"))
+        finally:
+            both.unpersist()
+
+    return lines.writeStream.outputMode("append").foreachBatch(write)

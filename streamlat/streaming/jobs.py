@@ -9,7 +9,8 @@ Records are processed in micro-batches; `record_latency_kafka` can also pass eac
 arrives (`continuous_ms`), for latencies of milliseconds.
 
 Windows are of arrival time. The clock closes them, records or not; without `clock_fired` a
-window closes with the first batch after its end that has records. With `lenient`, lines
+window closes with the first batch after its end that has records; with `timers` each window has a
+timer of its own in place of the heartbeat. With `lenient`, lines
 without two whole numbers are left out instead of stopping the job; `rejected_lines` over the
 same source gives them.
 """
@@ -34,14 +35,19 @@ from streamlat.sources.kafka import kafka_lines, kafka_results
 from streamlat.sources.socket import LINE_HOST, LINE_PORT, socket_lines
 from streamlat.streaming.clock_windows import NO_LATENESS, clock_window_sums
 from streamlat.streaming.run import start
+from streamlat.streaming.timer_windows import timer_window_sums
 
 # Tasks of a batch that keep the state of the windows: two keys a window.
 STATE_PARTITIONS = 2
 
 
-def mean_results(lines: DataFrame, *, clock_fired: bool = True, newline: bool = False,
+def mean_results(lines: DataFrame, *, clock_fired: bool = True, timers: bool = False, newline: bool = False,
                  lenient: bool = False) -> DataFrame:
     """Windowed means of a stream by arrival."""
+    if timers:
+        return (lines.transform(parse_lines, lenient=lenient).transform(with_parity)
+                     .transform(timer_window_sums, MEAN_WINDOW_S * 1000)
+                     .transform(window_results, newline=newline))
     if not clock_fired:
         return parity_mean(lines, time=arrival_time(), lateness=NO_LATENESS, newline=newline,
                            lenient=lenient)
@@ -50,14 +56,19 @@ def mean_results(lines: DataFrame, *, clock_fired: bool = True, newline: bool =
                  .transform(window_results, newline=newline))
 
 
-def throughput_results(lines: DataFrame, *, clock_fired: bool = True,
+def throughput_results(lines: DataFrame, *, clock_fired: bool = True, timers: bool = False,
                        lenient: bool = False) -> DataFrame:
     """The throughput query on a stream by arrival.
 
     A sink takes the text `result`, which has no digit sum in it. The metrics observed
     under `throughput` in the query's progress do, so the load stays in the plan.
     """
-    if clock_fired:
+    if timers:
+        results = (lines.transform(parse_lines, lenient=lenient).transform(with_digit_sum)
+                        .transform(with_parity, THROUGHPUT_LABELS)
+                        .transform(timer_window_sums, THROUGHPUT_WINDOW_S * 1000, totals=("digit_sum",))
+                        .transform(window_results))
+    elif clock_fired:
         results = (lines.transform(parse_lines, lenient=lenient).transform(with_digit_sum)
                         .transform(with_parity, THROUGHPUT_LABELS)
                         .transform(clock_window_sums, f"{THROUGHPUT_WINDOW_S} seconds",
@@ -96,26 +107,27 @@ def record_latency_port(spark: SparkSession, *, host: str = LINE_HOST, port: int
 def parity_mean_kafka(spark: SparkSession, *, servers: str, topics: str,
                       out_topic: str = RESULT_TOPIC, acks: str = "all",
                       min_partitions: int | None = None, max_per_trigger: int | None = None,
-                      clock_fired: bool = True, lenient: bool = False,
+                      clock_fired: bool = True, timers: bool = False, lenient: bool = False,
                       state_partitions: int = STATE_PARTITIONS,
                       checkpoint: str | None = None,
                       interval_ms: int | None = None) -> StreamingQuery:
     """Windowed means of the topics."""
     lines = kafka_lines(spark, servers, topics, min_partitions=min_partitions,
                         max_per_trigger=max_per_trigger)
-    results = mean_results(lines, clock_fired=clock_fired, lenient=lenient)
+    results = mean_results(lines, clock_fired=clock_fired, timers=timers, lenient=lenient)
     return start(spark, to_kafka(results, servers, out_topic, acks=acks), checkpoint=checkpoint,
                  interval_ms=interval_ms, state_partitions=state_partitions)
 
 
 def parity_mean_port(spark: SparkSession, *, host: str = LINE_HOST, port: int = LINE_PORT,
                      out_host: str = RESULT_HOST, out_port: int = RESULT_PORT,
-                     partitions: int | None = None, clock_fired: bool = True, lenient: bool = False,
+                     partitions: int | None = None, clock_fired: bool = True, timers: bool = False,
+                     lenient: bool = False,
                      state_partitions: int = STATE_PARTITIONS, checkpoint: str | None = None,
                      interval_ms: int | None = None) -> StreamingQuery:
     """Windowed means of a line server."""
     lines = socket_lines(spark, host, port, partitions=partitions)
-    results = mean_results(lines, clock_fired=clock_fired, newline=True, lenient=lenient)
+    results = mean_results(lines, clock_fired=clock_fired, timers=timers, newline=True, lenient=lenient)
     return start(spark, to_socket(results, out_host, out_port), checkpoint=checkpoint,
                  interval_ms=interval_ms, state_partitions=state_partitions)
 
@@ -123,14 +135,14 @@ def parity_mean_port(spark: SparkSession, *, host: str = LINE_HOST, port: int =
 def throughput_kafka(spark: SparkSession, *, servers: str, topics: str,
                      out_topic: str = RESULT_TOPIC, acks: str = "all",
                      min_partitions: int | None = None, max_per_trigger: int | None = None,
-                     clock_fired: bool = True, lenient: bool = False,
+                     clock_fired: bool = True, timers: bool = False, lenient: bool = False,
                       state_partitions: int = STATE_PARTITIONS,
                      checkpoint: str | None = None,
                      interval_ms: int | None = None) -> StreamingQuery:
     """Throughput of the topics: windows of ten seconds behind a load per record."""
     lines = kafka_lines(spark, servers, topics, min_partitions=min_partitions,
                         max_per_trigger=max_per_trigger)
-    results = throughput_results(lines, clock_fired=clock_fired, lenient=lenient)
+    results = throughput_results(lines, clock_fired=clock_fired, timers=timers, lenient=lenient)
     return start(spark, to_kafka(results, servers, out_topic, acks=acks), checkpoint=checkpoint,
                  interval_ms=interval_ms, state_partitions=state_partitions)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -49,3 +51,22 @@ def start(spark: SparkSession, writer: DataStreamWriter, *, checkpoint: str | No
 def replay(spark: SparkSession, writer: DataStreamWriter, **options) -> None:
     """Run a stream over what its source holds now, and return when that is done."""
     start(spark, writer, available_now=True, **options).awaitTermination()
+
+
+def run_batches(spark: SparkSession, writer: DataStreamWriter, batches: int, *, timeout_s: float = 300,
+                **options) -> None:
+    """Run a stream without end until it has done the batches before number `batches`, and stop it.
+
+    A batch that was begun when the stream stops is done by the next run with the same checkpoint.
+    """
+    query = start(spark, writer, **options)
+    deadline = time.monotonic() + timeout_s
+    try:
+        while (query.lastProgress is None or query.lastProgress.batchId + 1 < batches):
+            if query.exception() is not None:
+                raise query.exception()
+            if time.monotonic() > deadline:
+                raise TimeoutError(f"fewer than {batches} batches after {timeout_s} s")
+            time.sleep(0.05)
+    finally:
+        query.stop()

@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from streamlat.operators import records
 from streamlat.sources import load
@@ -78,3 +81,43 @@ def test_load_is_made_in_parallel(spark):
     assert lines.rdd.getNumPartitions() == 5
     parsed = lines.transform(records.parse_lines).select("seq").collect()
     assert [r.seq for r in parsed] == list(range(1000))
+
+
+def test_steps_are_made_no_further_than_asked(spark):
+    began = time.monotonic()
+    for percent in (0.00001, 1e-15):  # ten million steps; a cut that is lost in the double
+        ramp = (10_000_000, 1_000, 0, percent)
+        lines = load.ramp_lines(spark, *ramp, t0_ms=0, records=10_000)
+        want = [f"{i} {t // 1_000_000}" for i, t in enumerate(walk(*ramp, 10_000))]
+        assert sorted((r.line for r in lines.collect()), key=lambda x: int(x.split()[0])) == want
+    assert len(load.ramp_steps(10_000_000, 1_000, 0, 1e-15)) == 1
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("case", CASES[:5])
+def test_the_table_equals_the_walk(spark, case):
+    steps = load.ramp_steps(*case, records=5_000)
+    rows = load.sent_table(spark, steps, 5_000).orderBy("seq").collect()
+    assert [(r.seq, r.sent_ns) for r in rows] == list(enumerate(walk(*case, 5_000)))
+
+
+def test_lines_of_so_many_seconds(spark):
+    case = CASES[0]
+    want = sum(t < 20 * 10**9 for t in walk(*case, 50_000))
+    assert load.ramp_lines(spark, *case, t0_ms=0, seconds=20).count() == want == 1_014
+    with pytest.raises(ValueError):
+        load.ramp_lines(spark, *case, t0_ms=0)
+
+
+def test_a_long_step_is_the_work_of_many_tasks(spark):
+    sent = load.sent_table(spark, load.constant_steps(3), 10**9)
+    assert sent.rdd.getNumPartitions() >= 100
+    assert sent.where("seq % 250000000 = 1").where(F.col("sent_ns") != 3 * F.col("seq")).isEmpty()
+
+
+def test_many_steps_need_no_python(spark):
+    steps = load.ramp_steps(1_000_000_000, 1_000, 1, 0.1)
+    plan = spark.range(9).select(load.sent_ns("id", steps))._jdf.queryExecution().executedPlan().toString()
+    assert len(steps) > load.STEPS_IN_SQL and "Python" not in plan and "InPandas" not in plan
+    with pytest.raises(ValueError, match="ramp_lines"):
+        load.sent_ns("id", steps * (load.STEPS_IN_ARRAYS // len(steps) + 1))

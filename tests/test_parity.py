@@ -1,3 +1,5 @@
+from pyspark import StorageLevel
+
 from streamlat.operators import parity, records
 from streamlat.operators.parity import Labels
 
@@ -38,9 +40,12 @@ def test_key_and_value(lines):
     assert (row.parity, row.value.line, row.value.n) == ("odd", "7 100", 1)
 
 
-def test_shared_records_are_cached_in_memory_only(typed):
+def test_shared_records_are_cached(typed):
     df = parity.share(typed((1, 1), (2, 1)))
-    assert df.storageLevel.useMemory and not df.storageLevel.useDisk
+    assert df.storageLevel.useMemory and df.storageLevel.useDisk
+    held = parity.share(typed((3, 1)), StorageLevel.MEMORY_ONLY)
+    assert held.storageLevel.useMemory and not held.storageLevel.useDisk
+    held.unpersist()
     assert labels_of(df.transform(parity.label_union)) == [(1, "odd"), (2, "even")]
     df.unpersist()
 

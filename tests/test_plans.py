@@ -50,7 +50,14 @@ def test_fused_parity_reads_once_and_branches_twice(spark):
 def test_lines_are_parsed_once(spark):
     # A filter on parsed columns would be pushed below the projection and parse again.
     for name in ("parity_mean_6h", "throughput_10s"):
-        assert " Filter (" not in plan_of(QUERIES[name](spark, TABLES)), name
+        plan = QUERIES[name](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sequence number is not a whole number") == 1, name
+        assert plan.count("creation time is not a whole number") == 1, name
+
+
+def test_windows_from_a_start_have_the_same_plan(spark):
+    plan = plan_of(QUERIES["parity_mean_from_start_2s"](spark, TABLES))
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
 
 
 def test_the_digit_load_is_not_optimized_away(spark):
