@@ -1,8 +1,8 @@
 """Quality rules: counts within a document, and lines that many documents of a host share.
 
-A line that more distinct documents of its host have than the limit is removed; a document
-that loses most of its words that way is rejected. Lines are compared without regard to
-case, digits and spacing. Exact copies of a document count once.
+A line that more than a share of the distinct documents of its host have is removed, if they
+are more than a few; a document that loses most of its words that way is rejected. Lines are
+compared without regard to case, digits and spacing. Documents are told apart by their doc_id.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from streamlat.llm.support import WordHashes, broadcast_if_small, hashed, map_texts, runs, written
 
-MOST_DOCUMENTS = 100   # of a host that may have a line
+MOST_SHARE = 0.1       # of a host's documents that may have a line
+LEAST_DOCUMENTS = 20   # that may have it on any host
 LEAST_LEFT = 0.3       # of its words that a document must keep
 LEAST_WORDS = 50
 MOST_REPEATED = 50     # percent of the words
@@ -24,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 _DIGITS = str.maketrans("0123456789", "0" * 10)
 
 PROFILE = ("doc_id long, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-           "n_repeat_words long, print long, lines array<long>, line_words array<int>")
+           "n_repeat_words long, lines array<long>, line_words array<int>")
 
 
 def repeated_words(hashes: np.ndarray) -> int:
@@ -55,7 +56,6 @@ def measure(text: str, hashes: WordHashes) -> tuple:
     normal = [normal_line(line) for line in lines]
     return (len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)),
             len(lines) - len(set(lines)), repeated_words(hashed(words, hashes)),
-            signed(xxhash.xxh3_64_intdigest(text.encode())),
             [signed(xxhash.xxh3_64_intdigest(line.encode())) for line in normal],
             [len(line.encode().split()) for line in lines])
 
@@ -81,24 +81,34 @@ def profile(docs: DataFrame, *keep: str) -> DataFrame:
     return written(map_texts(narrow, PROFILE + "".join(f", {c} string" for c in keep), make), "profile")
 
 
-def frequent_lines(profiles: DataFrame, limit: int) -> DataFrame:
-    """(host, line) of lines in more than `limit` distinct documents of a host, written."""
-    distinct = profiles.select("host", "print", F.explode("lines").alias("line")).distinct()
-    counts = distinct.groupBy("host", "line").agg(F.count("*").alias("n"))
-    return written(counts.where(F.col("n") > limit).select("host", "line"), "frequent")
+def frequent_lines(profiles: DataFrame, share: float, least: int) -> DataFrame:
+    """(host, line) of lines in more than `least` documents and more than `share` of those of a host, written.
 
-
-def quality(docs: DataFrame, *, host: str = "source", limit: int = MOST_DOCUMENTS,
-            least_left: float = LEAST_LEFT, with_text: bool = False) -> DataFrame:
+    A document is a doc_id, however many rows it has; a row without one is a document of its own.
+    """
+    alone = F.when(F.col("doc_id").isNull(), F.col("row")).alias("alone")
+    documents = (profiles.select("host", "doc_id", alone).distinct().groupBy("host")
+                 .agg(F.count("*").alias("documents")).where(F.col("documents") > least))
+    # Lines that come once in a task's rows of a document are put together before they are sent.
+    distinct = profiles.select("host", "doc_id", alone, F.explode(F.array_distinct("lines")).alias("line")).distinct()
+    counts = distinct.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hosts = broadcast_if_small(written(documents, "hosts"), 64)
+    return written(counts.join(hosts, "host").where(F.col("n") > share * F.col("documents"))
+                   .select("host", "line"), "frequent")
+
+
+def quality(docs: DataFrame, *, host: str = "source", share: float = MOST_SHARE,
+            least: int = LEAST_DOCUMENTS, least_left: float = LEAST_LEFT, with_text: bool = False) -> DataFrame:
     """Counts and verdict of each row; with `with_text`, its text without the removed lines.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     and n_removed_words. A missing text has no words and fails. Rows without a host are
-    those of one more host. Repeated rows come out each time and count as one document.
+    those of one more host. Repeated rows come out each time and count as one document. A line is
+    removed if more than `least` documents and more than `share` of those of its host have it.
     """
     keep = [host] + ["text"] * with_text
     profiles = profile(docs, *keep).withColumn("host", F.coalesce(F.col(host), F.lit("")))
-    frequent = broadcast_if_small(frequent_lines(profiles, limit), 64)
+    frequent = broadcast_if_small(frequent_lines(profiles, share, least), 64)
     lines = profiles.select("row", "host", F.posexplode(F.arrays_zip("lines", "line_words"))
                             .alias("number", "both"))
     removed = (lines.select("row", "host", "number", F.col("both.lines").alias("line"),

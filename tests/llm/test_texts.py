@@ -14,7 +14,7 @@ from conftest import TABLES
 from streamlat.llm import decontamination, html_text, language, quality, queries
 from streamlat.llm.support import read
 
-NAMES = ("row", "n_words", "spans", "host", "lines", "line", "removed", "print")
+NAMES = ("row", "n_words", "spans", "host", "lines", "line", "removed", "print", "documents")
 
 
 def own():
@@ -106,12 +106,38 @@ def base_counts(text):
             len(words) < 50 or 100 * len(covered) > 50 * len(words))
 
 
-def test_quality_counts(spark, documents):
-    rows = queries.QUERIES["op9_line_frequency"](spark, TABLES).collect()
-    assert sorted(r.doc_id for r in rows) == sorted(documents)
+def brute_quality(rows, share=quality.MOST_SHARE, least=quality.LEAST_DOCUMENTS):
+    """Words that frequent lines take from each text, and whether enough are left."""
+    holders, everyone = defaultdict(set), defaultdict(set)
+    for k, r in enumerate(rows):
+        who, host = (r.doc_id, None) if r.doc_id is not None else (None, k), r.source or ""
+        everyone[host].add(who)
+        for line in (r.text or "").split("\n"):
+            if WORD.search(line):
+                holders[host, quality.normal_line(line)].add(who)
+    out = []
     for r in rows:
-        assert tuple(r)[1:7] == base_counts(documents[r.doc_id].text or "")
-        assert r.kept == (not r.base_failed)
+        host, gone = r.source or "", 0
+        for line in (r.text or "").split("\n"):
+            n = len(holders.get((host, quality.normal_line(line)), ())) if WORD.search(line) else 0
+            if n > least and n > share * len(everyone[host]):
+                gone += len(WORD.findall(line))
+        base = base_counts(r.text or "")
+        out.append((r.doc_id, *base, not base[-1] and base[0] - gone >= quality.LEAST_LEFT * base[0], gone))
+    return out
+
+
+@pytest.mark.parametrize("share, least", [(quality.MOST_SHARE, quality.LEAST_DOCUMENTS), (0.0, 1), (0.05, 0)])
+def test_quality_by_brute_force(spark, share, least):
+    rows = read(spark, TABLES, "documents").collect()
+    got = quality.quality(read(spark, TABLES, "documents"), share=share, least=least).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_quality(rows, share, least))
+    assert least or any(r.n_removed_words for r in got)
+
+
+def test_quality_query(spark, documents):
+    rows = queries.QUERIES["op9_line_frequency"](spark, TABLES).collect()
+    assert sorted(map(tuple, rows)) == sorted(brute_quality(list(documents.values())))
 
 
 def test_frequent_lines(spark):
@@ -121,17 +147,23 @@ def test_frequent_lines(spark):
 
     line = "Shared100  line100 host100"
     rows = [(i, text(i, ["shared777 LINE123 host000"] * 2), "a") for i in range(6)]
-    rows += [(10 + i, text(0, [line]), "b") for i in range(9)]              # copies count once
+    rows += [(10, text(0, [line]), "b") for i in range(9)]               # one document, nine rows
+    rows += [(None, text(0, [line]), "c") for i in range(9)]             # nine documents
+    rows += [(30 + i, text(0, [line]), "d") for i in range(9)]           # copies are documents
     rows += [(20, "\n".join([line] * 30), "a"), (21, " ".join(f"v{k}" for k in range(80)) + "\n" + "\n".join(
-        f"shared{k} line{k} host{k}" for k in range(100, 300)), "a"), (22, None, None), (23, "", None)]
+        f"shared{k} line{k} host{k}" for k in range(100, 300)), "a"), (22, None, None), (23, "", None),
+        (24, "\n".join(["long line of words " * 5] * 20_000), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns(own())
-    got = {r.doc_id: r for r in quality.quality(docs, limit=6, with_text=True).collect()}
-    assert len(got) == len(rows)
+    made = quality.quality(docs, share=0.5, least=6, with_text=True).collect()
+    got = {r.doc_id: r for r in made}
+    assert len(made) == len(rows)
     assert all(got[i].n_removed_words == 6 and got[i].kept and "\n" not in got[i].text for i in range(6))
-    assert all(got[i].n_removed_words == 0 and got[i].text.endswith(line) for i in range(10, 19))
+    assert got[10].n_removed_words == 0 and got[10].text.endswith(line)
+    # Where all lines of all documents are the same, none is left.
+    assert got[None].n_removed_words == got[38].n_removed_words == 63 and not got[38].kept
     assert not got[21].base_failed and not got[21].kept and got[20].base_failed
-    assert got[22].n_words == got[23].n_words == 0
-    same = {r.doc_id: tuple(r) for r in quality.quality(docs, limit=6).collect()}
+    assert got[22].n_words == got[23].n_words == 0 and got[24].n_words == 400_000
+    same = {r.doc_id: tuple(r) for r in quality.quality(docs, share=0.5, least=6).collect()}
     assert same == {k: tuple(r)[:9] for k, r in got.items()}
     assert quality.quality(docs.limit(0)).collect() == []
 
