@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from streamlat.llm.support import map_texts, marked, written
 
 SAMPLE = 1000        # labelled texts of a language, for training
+SIDE = 4             # times that, the texts of either side of a machine, however many languages it has
 SAMPLE_CHARS = 20000  # texts above this are left out of the sample
 FEATURES = 1 << 13
 SCALE = 40.0         # of trigram shares, so that margins are around one
@@ -64,22 +65,35 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, ends - sizes, sizes - 2
 
 
+def shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trigrams that each text has, text after text, their scaled shares, and where each text begins."""
+    ids, values, sizes = [], [], []
+    for text in texts:
+        found, _, size = trigrams([text])
+        count = np.bincount(found, minlength=FEATURES + 1)[:FEATURES]
+        there = np.flatnonzero(count)
+        ids.append(there.astype(np.int32))
+        values.append((count[there] * (SCALE / size[0])).astype(np.float32))
+        sizes.append(len(there))
+    return np.concatenate(ids), np.concatenate(values), np.cumsum(sizes) - sizes
+
+
 def machine(texts: list[str], positive: np.ndarray, steps: int = 200) -> np.ndarray:
     """Weights of a linear support vector machine (squared hinge), the bias last."""
-    x = np.zeros((len(texts), FEATURES), np.float32)
-    for i, text in enumerate(texts):
-        ids, _, size = trigrams([text])
-        x[i] = np.bincount(ids, minlength=FEATURES + 1)[:FEATURES] * (SCALE / size[0])
+    ids, x, starts = shares(texts)
+    sizes = np.diff(starts, append=len(ids))
     y = np.where(positive, 1, -1).astype(np.float32)
     # Each side weighs the same, whatever its size.
     share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
     weight, bias, seen, ridge = np.zeros(FEATURES), 0.0, np.zeros(FEATURES), 1e-4
-    rate = 1 / (2 * (float((share * (x * x).sum(1)).sum()) + 1) + ridge)
+    rate = 1 / (2 * (float((share * np.add.reduceat(x * x, starts)).sum()) + 1) + ridge)
     for step in range(steps):
         # Accelerated gradient descent.
         ahead = weight + step / (step + 3) * (weight - seen)
-        slack = share * np.maximum(0, 1 - y * (x @ ahead.astype(np.float32) + bias)) * y
-        seen, weight = weight, ahead + rate * (2 * (slack.astype(np.float32) @ x) - ridge * ahead)
+        margin = np.add.reduceat(x * ahead.astype(np.float32)[ids], starts) + bias
+        slack = share * np.maximum(0, 1 - y * margin) * y
+        pull = np.bincount(ids, x * np.repeat(slack.astype(np.float32), sizes), FEATURES)
+        seen, weight = weight, ahead + rate * (2 * pull - ridge * ahead)
         bias += rate * 2 * slack.sum()
     return np.append(weight, bias)
 
@@ -161,20 +175,22 @@ def train(docs: DataFrame, size: int = SAMPLE) -> Hierarchy:
         families.setdefault(family_of(language), []).append(language)
     jobs = []
     if len(families) > 1:
-        jobs += [(f, "", x, x in members) for f, members in families.items() for x in languages]
+        jobs += [(f, "", x, x in members, SIDE / (len(members) if x in members else len(languages) - len(members)))
+                 for f, members in families.items() for x in languages]
     for members in families.values():
-        jobs += [(a, b, x, x == a) for i, a in enumerate(members) for b in members[i + 1:] for x in (a, b)]
+        jobs += [(a, b, x, x == a, 1.0) for i, a in enumerate(members) for b in members[i + 1:] for x in (a, b)]
     if not jobs:
         return Hierarchy(languages, {})
     spark = docs.sparkSession
-    plan = spark.createDataFrame(jobs, "one string, other string, lang string, positive boolean")
+    plan = spark.createDataFrame(jobs, "one string, other string, lang string, positive boolean, share double")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         weights = machine(rows["text"].tolist(), rows["positive"].to_numpy(bool))
         return pd.DataFrame({"one": rows["one"].iloc[:1], "other": rows["other"].iloc[:1],
                              "weights": [weights.astype("<f8").tobytes()]})
 
-    made = texts.join(F.broadcast(plan), "lang").groupBy("one", "other").applyInPandas(
+    drawn = F.pmod(F.xxhash64("text", "one", "other"), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    made = texts.join(F.broadcast(plan), "lang").where(drawn).drop("share").groupBy("one", "other").applyInPandas(
         fit, "one string, other string, weights binary")
     # A row a machine, of a fixed size.
     return Hierarchy(languages, {(r.one, r.other): np.frombuffer(r.weights, "<f8") for r in made.collect()})
@@ -203,6 +219,6 @@ def predict(docs: DataFrame, hierarchy: Hierarchy) -> DataFrame:
 
 
 def identified(docs: DataFrame, hierarchy: Hierarchy) -> DataFrame:
-    """The documents that have a language, with their columns."""
+    """The documents that have a language, with their columns, written."""
     made = marked(docs, "lang_pred string, score double", _predictor(docs, hierarchy))
-    return made.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return written(made.where(F.col("lang_pred") != UNKNOWN).select("row.*"), "identified")

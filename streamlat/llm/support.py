@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,13 @@ def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
 
 
+def release() -> None:
+    """Give free memory back at the end of a task: its worker process goes on, beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only where the C library is that of Linux
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Each batch in runs of rows with about `size` bytes of text."""
@@ -109,6 +117,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type)
                  for f in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, kind)
 
@@ -140,6 +149,7 @@ def marked(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFram
                      *(x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type)
                        for f in arrow)], names=["row", *arrow.names])
                 at += part.num_rows
+        release()
 
     from pyspark.sql.types import StructType
     return packed.mapInArrow(run, StructType([*packed.schema.fields, *kind.fields]))
