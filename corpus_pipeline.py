@@ -34,7 +34,7 @@ def pii(spark, docs, sf_dir):
 def pack(spark, docs, sf_dir):
     """Token sequences: the pieces of the documents, and where each lies in which sequence."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.with_checksums(packing.pack(docs, path, end_id=1))
+    return packing.pack(docs, path, end_id=1, tokens="ids_crc32")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicate), ("decontamination", benchmark),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamlat.llm.support import remove_at_exit, slices, written
-from streamlat.llm.vocabulary import Encoder
+from streamlat.llm.vocabulary import encoding
 from streamlat.session import new_dir
 
 SEQUENCE = 2048   # tokens of a sequence
@@ -66,10 +66,21 @@ class SequenceWriter:
         self.file.close()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The URI by which Spark knows `path`, so that executors do not take another file system for it.
+
+    One that pyarrow cannot open is refused here.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    _opened(uri)
+    return uri
+
+
 def _opened(path: str):
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") \
-        else (fs.LocalFileSystem(), path)
+    """The file system of a URI, and the path in it."""
+    # Hadoop writes file:/a, and pyarrow wants file:///a.
+    return fs.FileSystem.from_uri(f"file://{path[5:]}" if path.startswith("file:/") and path[6:7] != "/" else path)
 
 
 def write_sequences(docs: DataFrame, vocabulary: str, *, end_id: int = 0,
@@ -84,32 +95,33 @@ def write_sequences(docs: DataFrame, vocabulary: str, *, end_id: int = 0,
     if path is None:
         path = new_dir(spark, "sequences")
         remove_at_exit(spark, path)
+    path = qualified(spark, path)
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if encoder is None:
-                encoder = Encoder(vocabulary)
-                name = f"{path}/part-{part:06d}-{uuid.uuid4().hex}"
-                store, at = _opened(name)
-                store.create_dir(at.rpartition("/")[0], recursive=True)
-                sinks = [store.open_output_stream(f"{at}{end}") for end in (".arrow", ".index.arrow")]
-                out = SequenceWriter(sinks[0], encoder.dtype, length)
-                index, n_docs, n_tokens = pa.ipc.new_file(sinks[1], INDEX), 0, 0
-            for rows in slices(iter([batch])):
-                ids, counts = encoder(rows.column(1))
-                with_end = np.insert(ids, np.cumsum(counts), np.array(end_id, ids.dtype))
-                counts = counts + 1
-                starts = n_tokens + np.cumsum(counts) - counts
-                out.add(with_end)
-                index.write_batch(pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(starts), pa.array(counts)], schema=INDEX))
-                n_docs, n_tokens = n_docs + len(counts), n_tokens + int(counts.sum())
-        if encoder is not None:
+        part, out = TaskContext.get().partitionId(), None
+        with encoding(vocabulary) as encode:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    name = f"{path}/part-{part:06d}-{uuid.uuid4().hex}"
+                    store, at = _opened(name)
+                    store.create_dir(at.rpartition("/")[0], recursive=True)
+                    sinks = [store.open_output_stream(f"{at}{end}") for end in (".arrow", ".index.arrow")]
+                    out = SequenceWriter(sinks[0], encode.dtype, length)
+                    index, n_docs, n_tokens = pa.ipc.new_file(sinks[1], INDEX), 0, 0
+                for rows in slices(iter([batch])):
+                    ids, counts = encode(rows.column(1))
+                    with_end = np.insert(ids, np.cumsum(counts), np.array(end_id, ids.dtype))
+                    counts = counts + 1
+                    starts = n_tokens + np.cumsum(counts) - counts
+                    out.add(with_end)
+                    index.write_batch(pa.RecordBatch.from_arrays(
+                        [rows.column(0), pa.array(starts), pa.array(counts)], schema=INDEX))
+                    n_docs, n_tokens = n_docs + len(counts), n_tokens + int(counts.sum())
+        if out is not None:
             out.close()
             index.close()
             for sink in sinks:
@@ -125,7 +137,7 @@ def write_sequences(docs: DataFrame, vocabulary: str, *, end_id: int = 0,
 
 def sequence(path: str, number: int, batch: int = BATCH) -> tuple[np.ndarray, pa.Array]:
     """Ids (a view of the mapped file) and mask of one sequence of a local file."""
-    file = pa.ipc.open_file(pa.memory_map(path.removeprefix("file://")))
+    file = pa.ipc.open_file(pa.memory_map(path.removeprefix("file:").replace("///", "/", 1)))
     rows = file.get_batch(number // batch)
     row = number % batch
     n = rows.schema.field("ids").type.list_size

@@ -9,18 +9,20 @@ its place by its rank among the pieces of its length, which tasks count on their
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamlat.llm.support import broadcast_if_small, slices, written
-from streamlat.llm.vocabulary import Encoder
+from streamlat.llm.vocabulary import encoding
 
 CAPACITY = 4096
 
 PIECES = ("doc_id long, piece int, start long, length int, ids binary, "
-          "task int, place long")
+          "ids_crc32 long, task int, place long")
 
 
 class OpenBins:
@@ -99,17 +101,17 @@ def cut_pieces(docs: DataFrame, vocabulary: str, *, end_id: int, capacity: int)
     def run(batches):
         from pyspark import TaskContext
 
-        task, encoder, seen = TaskContext.get().partitionId(), Encoder(vocabulary), np.zeros(
-            capacity + 1, np.int64)
-        for rows in slices(batches):
-            yield _pieces(rows, encoder, seen, task, end_id, capacity)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        with encoding(vocabulary) as encode:
+            for rows in slices(batches):
+                yield _pieces(rows, encode, seen, task, end_id, capacity)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInArrow(run, PIECES)
 
 
-def _pieces(rows, encoder, seen, task, end_id, capacity) -> pa.RecordBatch:
-    ids, counts = encoder(rows.column(1))
+def _pieces(rows, encode, seen, task, end_id, capacity) -> pa.RecordBatch:
+    ids, counts = encode(rows.column(1))
     ids = np.insert(ids, np.cumsum(counts), np.array(end_id, ids.dtype))
     counts = counts + 1
     n = -(-counts // capacity)
@@ -124,22 +126,25 @@ def _pieces(rows, encoder, seen, task, end_id, capacity) -> pa.RecordBatch:
     place = np.empty(len(doc), np.int64)
     place[order] = seen[ranked] + np.arange(len(doc)) - first
     seen += np.bincount(length, minlength=len(seen))
-    offsets = np.concatenate([[0], np.cumsum(length)]) * ids.dtype.itemsize
+    ends = np.cumsum(length)
+    wide = memoryview(ids.astype("<u4").tobytes())
+    sums = [zlib.crc32(wide[4 * a:4 * b]) for a, b in zip((ends - length).tolist(), ends.tolist())]
+    offsets = np.concatenate([[0], ends]) * ids.dtype.itemsize
     buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.tobytes())]
     return pa.RecordBatch.from_arrays(
         [rows.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start),
          pa.array(length, pa.int32()),
          pa.BinaryArray.from_buffers(pa.binary(), len(doc), buffers),
-         pa.array(np.full(len(doc), task), pa.int32()), pa.array(place)],
-        names=["doc_id", "piece", "start", "length", "ids", "task", "place"])
+         pa.array(sums, pa.int64()), pa.array(np.full(len(doc), task), pa.int32()), pa.array(place)],
+        names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "task", "place"])
 
 
-def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1,
-         capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece.
+def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, capacity: int = CAPACITY,
+         tokens: str = "ids") -> DataFrame:
+    """(doc_id, piece, start, length, `tokens`, sequence_id, offset) of every piece.
 
     `ids` has the ids as little-endian integers, of 16 bits if the vocabulary allows it and
-    of 32 bits otherwise. A missing or empty text is its end id alone. Repeated rows are
+    of 32 bits otherwise; `ids_crc32` is their checksum as integers of 32 bits. A missing or empty text is its end id alone. Repeated rows are
     packed each time; without documents there are no pieces.
     """
     spark = docs.sparkSession
@@ -152,10 +157,10 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1,
     counts = {r.length: r.n for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = best_fit_decreasing(counts, capacity)
     return _placed(pieces, bases, spark.sparkContext.broadcast(
-        np.array(runs, np.int64).reshape(-1, 6)))
+        np.array(runs, np.int64).reshape(-1, 6)), tokens)
 
 
-def _placed(pieces: DataFrame, bases: DataFrame, runs) -> DataFrame:
+def _placed(pieces: DataFrame, bases: DataFrame, runs, tokens: str) -> DataFrame:
     """Pieces with sequence and offset. `runs` has at most a run for each length and kind of bin."""
     def run(batches):
         table = runs.value
@@ -176,23 +181,7 @@ def _placed(pieces: DataFrame, bases: DataFrame, runs) -> DataFrame:
     ranked = (pieces.join(broadcast_if_small(bases.select("length", "task", "base"), 32),
                           ["length", "task"])
               .select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"),
-                      "ids", (F.col("base") + F.col("place")).alias("rank")))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, "
+                      tokens, (F.col("base") + F.col("place")).alias("rank")))
+    kind = dict(pieces.dtypes)[tokens]
+    return ranked.mapInArrow(run, f"doc_id long, piece int, start long, length long, {tokens} {kind}, "
                                   "sequence_id long, offset long")
-
-
-def with_checksums(packed: DataFrame) -> DataFrame:
-    """`ids_crc32`, of the ids as 32-bit integers, in place of `ids`."""
-    def run(batches):
-        import zlib
-
-        for batch in batches:
-            length = batch.column(batch.schema.get_field_index("length")).to_pylist()
-            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            sums = [zlib.crc32(np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes())
-                    for x, n in zip(ids, length)]
-            kept = batch.drop_columns(["ids"])
-            yield kept.append_column("ids_crc32", pa.array(sums, pa.int64()))
-
-    return packed.mapInArrow(run, "doc_id long, piece int, start long, length long, "
-                                  "sequence_id long, offset long, ids_crc32 long")

@@ -118,8 +118,7 @@ def personal(spark, directory):
 
 @query("op8_best_fit_packing")
 def best_fit(spark, directory, vocabulary=WORD_BPE):
-    packed = packing.pack(read(spark, directory, "documents"), vocabulary, end_id=1)
-    return packing.with_checksums(packed)
+    return packing.pack(read(spark, directory, "documents"), vocabulary, end_id=1, tokens="ids_crc32")
 
 
 @query("op9_line_frequency")

@@ -10,14 +10,24 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Pieces that a task remembers, before it starts anew.
+from streamlat.llm.support import release
+
+# Pieces that an encoder remembers, before it starts anew.
 PIECES = 1_000_000
 
+# Of these, the ones that stay for the next task of the same worker process: the first met, mostly frequent ones.
+KEPT = 300_000
+
 # Pre-tokens that go to the library at a time; each comes back as an object of its own.
 CALL = 4096
 
@@ -71,6 +81,7 @@ class Encoder:
             content = json.load(file)
         self.library = Tokenizer.from_file(path)
         self.dtype = id_type(self.library.get_vocab_size(with_added_tokens=True))
+        self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(self.dtype).itemsize)
         special = [t["content"] for t in content.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         # A special string with white space inside could reach over a cut.
@@ -109,7 +120,7 @@ class Encoder:
         order = [unique.setdefault(t, len(unique)) for tokens in found for t in tokens]
         tokens, ids = list(unique), []
         for at in range(0, len(tokens), CALL):
-            ids += [np.array(e.ids, self.dtype).tobytes() for e in self.merges.encode_batch_fast(
+            ids += [array(self.code, e.ids).tobytes() for e in self.merges.encode_batch_fast(
                 tokens[at:at + CALL], add_special_tokens=False)]
         at = 0
         for piece, tokens in zip(texts, found):
@@ -169,6 +180,23 @@ class Encoder:
         return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@contextmanager
+def encoding(path: str) -> Iterator[Encoder]:
+    """The encoder of this worker process for one task, after which most of what it remembers goes."""
+    encode = _encoder(path)
+    try:
+        yield encode
+    finally:
+        if len(encode.known) > KEPT:
+            encode.known = dict(islice(encode.known.items(), KEPT))
+        release()
+
+
 def id_type(size: int) -> str:
     """The narrower of two little-endian types that holds ids below `size`."""
     return "<u2" if size <= 1 << 16 else "<u4"
