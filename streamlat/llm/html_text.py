@@ -1,8 +1,9 @@
 """Main text of web pages, by a minimum cut between content and boilerplate.
 
 A page is read as a row of text blocks. Signs of a block (what it stands in, how much of it
-is link, its length) make the cost of either label, which become its capacities to the two
-terminals. Neighbours in reading order and blocks of the same parent are joined by edges
+is link, its length, its place, wording of notices) make the cost of either label, which become
+its capacities to the two terminals. What no name or element tells apart is content unless the
+page has a marked article elsewhere, so a page without any marks keeps its text. Neighbours in reading order and blocks of the same parent are joined by edges
 that cost their weight if the labels differ. The minimum cut is the labelling of least
 cost; blocks on the content side are the text.
 """
@@ -50,9 +51,22 @@ BAD_NAMES = set(
     "promotion related recommend recommended replies reply respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
 GOOD_NAMES = set("article content entry main post story text body prose".split())
+# Words that also name sections of an article: together with further words, and within an article,
+# they are a cost and no verdict.
+DOUBTFUL_NAMES = set("discussion disclaimer navigation notice recommended related respond response search "
+                     "share sharing social tags".split())
+
+# Wording of what is no article, wherever it stands: who uses cookies and what is asked for; all of a
+# block that only announces an advert; the end of a page.
+COOKIES = re.compile(r"\b(?:we|sites?|website|partners) (?:and our partners )?(?:uses?|stores?|sets?)\b.{0,60}\bcookies\b", re.I)
+ASKED = re.compile(r"\b(?:accept|agree|consent|preferences|settings|privacy|opt out|continu(?:e|ing)|experience)\b", re.I)
+ADVERT = re.compile(r"(?:advertisement|advertising|sponsored|sponsored content|promoted)[.:]?", re.I)
+RIGHTS = re.compile(r"(?:copyright )?(?:©|\(c\)) ?(?:copyright )?[12][0-9]{3}\b|.*\ball rights reserved\b", re.I)
+ENDED = re.compile(r"[.!?…。！？।]")
 
 # Costs, in hundredths.
-IN_BAD, IN_GOOD, LINKED, PLAIN = 900, 600, 300, 100
+IN_BAD, IN_GOOD, IN_DOUBT, LINKED, PLAIN = 900, 600, 400, 300, 100
+WORDED = 1500  # more than an article and its length say for a block
 NEXT, SIBLING = 120, 60
 
 
@@ -62,6 +76,8 @@ class Element:
     parent: Element | None
     depth: int
     sign: int  # -1 in boilerplate, 1 in content, 0 unknown
+    marked: bool = False  # within article or main
+    doubt: bool = False  # within a doubtful name
     last: int | None = None  # its last block so far
 
 
@@ -73,25 +89,31 @@ class Block:
     sibling: int | None  # the block before it of the same parent
 
 
-def sign_of(tag: str, attributes: str, above: Element | None) -> int:
-    """-1 below any sign of boilerplate; else 1 below a sign of content."""
-    before = above.sign if above else 0
-    if before < 0 or tag in ("html", "body"):
-        return before
-    if tag in BAD_TAGS or tag == "header" and before == 0:
-        return -1
-    good = tag in GOOD_TAGS
+def below(tag: str, attributes: str, above: Element) -> Element:
+    """An element in `above`: in boilerplate below any sign of it, else in content below a sign of that."""
+    new = Element(tag, above, above.depth + 1, above.sign, above.marked, above.doubt)
+    if above.sign < 0 or tag in ("html", "body"):
+        return new
+    if tag in BAD_TAGS or tag == "header" and above.sign == 0:
+        new.sign = -1
+        return new
+    good = new.marked = tag in GOOD_TAGS
+    new.marked |= above.marked
     if attributes:
         each = [{p.lower() for p in PARTS.findall(name)} for m in NAMES.finditer(attributes)
                 for name in (m[1] or m[2] or m[3] or "").split()]
         names = set().union(*each)
         if names & BAD_NAMES and not (good and "comment" not in names and "comments" not in names):
+            whole = any(n and n <= BAD_NAMES for n in each)
+            if above.marked and not whole and names & BAD_NAMES <= DOUBTFUL_NAMES:
+                new.doubt = True
             # comment-body and comment content are boilerplate, main-content has-sidebar is not.
-            if (any(n and n <= BAD_NAMES for n in each)
-                    or not any(n & GOOD_NAMES and not n & BAD_NAMES for n in each)):
-                return -1
+            elif whole or not any(n & GOOD_NAMES and not n & BAD_NAMES for n in each):
+                new.sign = -1
+                return new
         good = good or bool(names & GOOD_NAMES)
-    return 1 if good or before > 0 else 0
+    new.sign = max(above.sign, int(good))
+    return new
 
 
 class Reader:
@@ -175,8 +197,7 @@ class Reader:
         if tag in CLOSES:
             self.close(*CLOSES[tag])
         self.in_link += tag == "a"
-        above = self.open
-        self.open = Element(tag, above, above.depth + 1, sign_of(tag, attributes, above))
+        self.open = below(tag, attributes, self.open)
 
     def close(self, tags: set[str], within: set[str]) -> None:
         """Leave the innermost open element of `tags`, but none outside `within`."""
@@ -206,12 +227,60 @@ class Reader:
             self.leave(element)
 
 
-def evidence(block: Block) -> int:
-    """For content if positive, for boilerplate if negative."""
-    sign = block.element.sign
-    value = IN_GOOD * (sign > 0) - IN_BAD * (sign < 0) - PLAIN
-    value += min(3, len(block.text) // 80) * PLAIN
-    return value - LINKED * (block.linked > 0.5 and sign <= 0)
+def worded(block: Block) -> bool:
+    """Whether the wording is that of a cookie notice, the label of an advert or a copyright line.
+
+    The paragraphs of a marked article are its own whatever they say; a box within it may be a notice or an advert.
+    """
+    text, element = block.text, block.element
+    if element.marked and not boxed(element):
+        return False
+    if "ookies" in text and COOKIES.search(text) and ASKED.search(text):
+        return True
+    return (len(text) < 30 and bool(ADVERT.fullmatch(text))
+            or len(text) < 160 and not element.marked and bool(RIGHTS.match(text)))
+
+
+def boxed(element: Element) -> bool:
+    """Whether an element of a marked article is in a box of its own."""
+    while element.tag not in GOOD_TAGS:
+        if element.tag in ("div", "section"):
+            return True
+        element = element.parent
+    return False
+
+
+def has_anchor(blocks: list[Block]) -> bool:
+    """Whether the page marks its article: by an element, or by names around most of its plain text."""
+    named = unknown = 0
+    for b in blocks:
+        if b.element.sign > 0:
+            if b.element.marked:
+                return True
+            named += len(b.text)
+        elif b.element.sign == 0 and b.linked <= 0.5:
+            unknown += len(b.text)
+    return named > unknown
+
+
+def evidence(blocks: list[Block]) -> list[int]:
+    """Of each block: for content if positive, for boilerplate if negative."""
+    anchored = has_anchor(blocks)
+    # Above the first heading of an unmarked page stand its name and menus.
+    top = next((i for i, b in enumerate(blocks) if b.element.tag == "h1" and b.element.sign >= 0), 0)
+    out = []
+    for i, b in enumerate(blocks):
+        sign = b.element.sign
+        value = min(3, len(b.text) // 80) * PLAIN - WORDED * worded(b)
+        if sign > 0:
+            value += IN_GOOD - PLAIN - b.element.doubt * (IN_DOUBT + LINKED * (b.linked > 0.5))
+        else:
+            value += -IN_BAD - PLAIN if sign < 0 else -PLAIN if anchored else PLAIN
+            value -= LINKED * (b.linked > 0.5)
+            if not anchored and i < top and not ENDED.search(b.text):
+                value -= LINKED
+        out.append(value)
+    return out
 
 
 def distance(a: Element, b: Element) -> int:
@@ -307,7 +376,7 @@ def _max_flow(nodes: list[int], values: list[int], near: list[dict[int, int]]) -
 def labelled_blocks(page: str) -> list[tuple[str, bool]]:
     """Text of each block, and whether it is content."""
     blocks = Reader().read(page)
-    return list(zip((b.text for b in blocks), least_cut([evidence(b) for b in blocks], edges_of(blocks))))
+    return list(zip((b.text for b in blocks), least_cut(evidence(blocks), edges_of(blocks))))
 
 
 def main_text(page: str) -> str:

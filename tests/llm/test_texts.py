@@ -56,6 +56,39 @@ def test_boilerplate_of_many_kinds():
     assert content(page) == ["T", "One & two three.", "a", "b", "c", "d"]
 
 
+LONG = "A sentence of the article that says what happened, where it happened and to whom. " * 3
+NOTICE = ("We use cookies and similar technologies to measure how this site is read and to show what may interest you. "
+          "You can accept all of them or change your preferences at any time; read more in the privacy policy. ") * 2
+
+
+@pytest.mark.parametrize("page, expected", [
+    ("<body><h1>T</h1><p>One short line.</p><p>Two short lines.</p></body>",
+     ["T", "One short line.", "Two short lines."]),
+    ("<body><div><h1>Title</h1><p>A paragraph of sixty characters that is the whole article.</p></div></body>",
+     ["Title", "A paragraph of sixty characters that is the whole article."]),
+    # Neutral names, with menu, notice and copyright line told by links, wording and place.
+    (f"""<body><div class="x1">The Daily Site</div><div class="x2"><a href="/">Home</a> <a href="/a">About us</a></div>
+     <div class="x3"><h1>Title</h1><p>{LONG}</p><p>Short end.</p></div><div class="x4">{NOTICE}</div>
+     <div class="x5">© 2024 The Daily Site</div></body>""", ["Title", LONG.strip(), "Short end."]),
+    # A table layout with lists.
+    (f"""<table><tr><td><ul><li><a href="1">One</a><li><a href="2">Two</a></ul><td><h1>Title</h1>{LONG}<ul><li>First point.
+     <li>Second point.</ul></table>""", ["Title", LONG.strip(), "First point.", "Second point."]),
+    # A name of content on something small does not make the rest boilerplate.
+    (f"""<div class="text">Hello.</div><div class="c"><p>First.</p><p>{LONG}</p><p>Last.</p></div><nav>menu</nav>
+     <form><p>Name</p></form><div class="advert">Buy</div>""", ["Hello.", "First.", LONG.strip(), "Last."]),
+    # Sections of an article named like boilerplate, and real boilerplate within it.
+    (f"""<article><h1>T</h1><section class="related-work"><h2>Related work</h2><p>Others did it.</p></section>
+     <div class="search-results"><p>We found four.</p></div><div class="box">{NOTICE}</div><div class="share">Share</div>
+     <div class="related-posts"><a href="1">Another</a></div><div>Advertisement</div><p>End.</p>
+     <p>All rights reserved.</p><div class="comment-list"><p>{LONG}</p></div></article><p>Unmarked.</p>""",
+     ["T", "Related work", "Others did it.", "We found four.", "End.", "All rights reserved."]),
+    # An article about cookies stays.
+    ("<main><p>The baker makes cookies. Some sites use chocolate for cookies.</p><p>All is well.</p></main>",
+     ["The baker makes cookies. Some sites use chocolate for cookies.", "All is well."])])
+def test_templates_without_marks(page, expected):
+    assert content(page) == expected
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "a < b", "<a href='x", "</p></div>", "<!-- x", "<script>x",
                                   "<p>" * 3000, "<div>" * 3000 + "x", "&am &#x110000; &#0;", "<td>x</tr></table>"])
 def test_broken_pages_do_not_fail(page):
