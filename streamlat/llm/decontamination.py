@@ -37,6 +37,7 @@ class Block:
     """Items of a benchmark as numbers: a vocabulary, and the suffixes that begin a window."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        self.window = window
         self.vocabulary: dict[bytes, int] = {}
         ids, suffix, room, width, item = [], [], [], [], []
         self.names = [name for name, _ in items]
@@ -50,6 +51,8 @@ class Block:
                 item.append(k)
             ids += [*found, 0]
         self.ids = np.array(ids or [0], np.int64)
+        # Where each item begins; the 0 after it is its last.
+        self.starts = np.concatenate([[0], np.flatnonzero(self.ids == 0) + 1])
         self.suffix, self.room, self.width, self.item = (
             np.array(x, np.int64) for x in (suffix, room, width, item))
         self.shortest = int(self.width.min()) if suffix else 0
@@ -146,13 +149,15 @@ def look_up(block: Block, texts: list[str]) -> list[tuple[int, list, list, int,
                               return_inverse=True)
     which = which.ravel()
     edge = np.zeros(len(ids) + 1, np.int64)
-    pairs = []
+    pairs, short = [], [np.zeros((2, 0), np.int64)]
     by_range = np.argsort(which, kind="stable")
     cuts = np.searchsorted(which[by_range], np.arange(ranges.shape[1] + 1))
     for k in range(ranges.shape[1]):
         at = order[ranges[0, k]:ranges[1, k]]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + ranges[2, k], -1)
+        if ranges[2, k] < block.window:
+            short.append(np.stack([at, np.full(len(at), ranges[2, k])]))
         items = np.unique(block.item[hit[by_range[cuts[k]:cuts[k + 1]]]])
         docs = np.unique(doc[at])
         pairs.append(np.unique(np.repeat(docs, len(items)) * len(block.names)
@@ -169,30 +174,70 @@ def look_up(block: Block, texts: list[str]) -> list[tuple[int, list, list, int,
     for pair in np.unique(np.concatenate(pairs)).tolist():
         d, k = divmod(pair, len(block.names))
         items.setdefault(d, set()).add(block.names[k])
-    for d, (best, at) in _longest(block, ids, doc, np.flatnonzero(covered)).items():
+    whole = np.unique(block.item[hit[block.width[hit] == block.window]])
+    for d, (best, at) in _longest(block, whole, ids, doc, covered, np.concatenate(short, axis=1)).items():
         out[d] = (out[d][0], spans[d], sorted(items[d] - {None}), best, int(place[at] - starts[d]))
     return out
 
 
-def _longest(block: Block, ids, doc, at) -> dict[int, tuple[int, int]]:
-    """For each document the longest match that begins at one of `at`, and its place in `ids`."""
-    rows = suffix_array(block.ids, block.deepest)
-    rows = rows[block.ids[rows] > 0]
-    most = np.full(len(at), block.deepest)
-    # Up to the 0 that closes the run.
-    zeros = np.flatnonzero(ids == 0)
-    most = np.minimum(most, zeros[np.searchsorted(zeros, at)] - at)
-    place = search(ids, at, most, block.ids, rows, after=False)
-    best = np.zeros(len(at), np.int64)
-    for side in (place - 1, place):
-        near = rows[np.clip(side, 0, len(rows) - 1)]
-        best = np.maximum(best, common(ids, at, block.ids, near, most))
-    out: dict[int, tuple[int, int]] = {}
-    for i in np.lexsort((at, -best, doc[at])).tolist():
-        out.setdefault(int(doc[at[i]]), (int(best[i]), int(at[i])))
+def ranks(ids: np.ndarray, depth: int) -> list[np.ndarray]:
+    """At k, numbers of equal and in the order of the 2**k ids from each position on, up to `depth` or all different."""
+    _, rank = np.unique(ids, return_inverse=True)
+    out = [rank]
+    while 1 << len(out) - 1 < depth and rank.max() < len(rank) - 1:
+        step = 1 << len(out) - 1
+        behind = np.zeros_like(rank)
+        behind[:-step] = rank[step:] + 1
+        _, rank = np.unique(rank * (len(rank) + 1) + behind, return_inverse=True)
+        out.append(rank)
     return out
 
 
+def prefixes(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at `a` and at `b`, by steps of falling powers of two."""
+    size, length = len(levels[0]), np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = a + length, b + length
+        same = np.maximum(x, y) + (1 << k) <= size
+        same[same] = levels[k][x[same]] == levels[k][y[same]]
+        length += same.astype(np.int64) << k
+    return length
+
+
+def _longest(block: Block, found: np.ndarray, ids, doc, covered, short) -> dict[int, tuple[int, int]]:
+    """For each document its longest match of a window or more, and its place in `ids`.
+
+    The covered words and the items `found` are put in one order; the nearest item suffix before or after
+    a position has its longest match. Equal words cost n log n like any others. `short` are
+    the places and lengths of items of less than a window, which match as a whole.
+    """
+    at = np.flatnonzero(covered)
+    # Each stretch of covered words is closed, so that no match goes on into the next.
+    cuts = np.flatnonzero(np.diff(at) != 1) + 1
+    own, place = np.insert(ids[at], cuts, 0), np.insert(at, cuts, -1)
+    parts = [block.ids[a:b] for a, b in zip(block.starts[found].tolist(), block.starts[found + 1].tolist())]
+    joint = np.concatenate([own, [0], *parts])
+    ends = np.flatnonzero(joint == 0)
+    joint[ends] = -1 - np.arange(len(ends))
+    levels = ranks(joint, min(block.deepest, len(at)))
+    order = np.lexsort((np.arange(len(joint)), levels[-1]))
+    item = order > len(own)
+    # The nearest item suffix on either side of each position in the order.
+    rank = np.arange(len(order))
+    before = np.maximum.accumulate(np.where(item, rank, -1))
+    after = np.minimum.accumulate(np.where(item, rank, len(order))[::-1])[::-1]
+    where = np.flatnonzero((order < len(own)) & (joint[order] > 0))
+    here, best = order[where], np.zeros(len(where), np.int64)
+    for side in (before[where], after[where]):
+        there = (side >= 0) & (side < len(order))
+        best[there] = np.maximum(best[there], prefixes(levels, here[there], order[side[there]]))
+    best[best < block.window] = 0
+    at, best = np.concatenate([place[here], short[0]]), np.concatenate([best, short[1]])
+    rows = np.lexsort((at, -best, doc[at]))
+    first = np.unique(doc[at[rows]], return_index=True)
+    return {d: (int(best[rows[i]]), int(at[rows[i]])) for d, i in zip(first[0].tolist(), first[1].tolist())}
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):

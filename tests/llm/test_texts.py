@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -286,6 +287,44 @@ def test_contamination_of_odd_texts(spark, block_bytes):
         i for i, b in enumerate(brute(texts, items)) if not b[-1]]
 
 
+def brute_longest(text, items, window=10):
+    """Length and place of the longest run of words shared with an item, of a window or the whole item."""
+    words, best = low_words(text), (0, -1)
+    for _, item in items:
+        other = low_words(item)
+        for i in range(len(words)):
+            for j in range(len(other)):
+                n = 0
+                while i + n < len(words) and j + n < len(other) and words[i + n] == other[j + n]:
+                    n += 1
+                if n >= min(window, len(other)) and (n, -i) > (best[0], -best[1]):
+                    best = n, i
+    return best
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_longest_match_by_brute_force(seed):
+    choose = random.Random(seed)
+    letters = "ab" if seed % 2 else "abcd"
+    items = [(str(i), " ".join(choose.choice(letters) for _ in range(choose.choice([0, 2, 9, 10, 17, 40]))))
+             for i in range(choose.randint(1, 6))]
+    texts = [" ".join(choose.choice(letters + "e") for _ in range(choose.randint(0, 50))) for _ in range(12)]
+    texts += [t for _, t in items] + [" ".join([items[0][1], "e", items[-1][1]])]
+    block = decontamination.Block(items)
+    expected = [brute_longest(t, items) for t in texts]
+    assert [r[3:] for r in decontamination.look_up(block, texts)] == expected
+    # Whatever else is in the shard.
+    assert [decontamination.look_up(block, [t])[0][3:] for t in texts] == expected
+
+
+def test_longest_match_of_equal_words_is_not_quadratic():
+    text = "a " * 32000
+    begin = time.process_time()
+    row = decontamination.look_up(decontamination.Block([("1", text)]), [text, "b " + text])
+    assert [r[3:] for r in row] == [(32000, 0), (32000, 1)]
+    assert time.process_time() - begin < 10
+
+
 def test_longest_match_and_empty_tables(spark):
     words = [f"w{i}" for i in range(30)]
     docs = spark.createDataFrame([(1, "x y " + " ".join(words[3:25]) + " z"), (2, "w1 w2")], "doc_id long, text string")
