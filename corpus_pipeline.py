@@ -34,7 +34,8 @@ def pii(spark, docs, sf_dir):
 def pack(spark, docs, sf_dir):
     """Token sequences: the pieces of the documents, and where each lies in which sequence."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(docs, path, end_id=1, tokens="ids_crc32")
+    # Executors have the memory of four earlier stages in use; rows are the same whatever is remembered.
+    return packing.pack(docs, path, end_id=1, tokens="ids_crc32", remembered=100_000, slice_bytes=1 << 20)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicate), ("decontamination", benchmark),

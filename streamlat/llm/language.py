@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlat.llm.support import map_texts, marked, written
+from streamlat.llm.support import map_texts, marked, release, written
 
 SAMPLE = 1000        # labelled texts of a language, for training
 SIDE = 4             # times that, the texts of either side of a machine, however many languages it has
@@ -186,6 +186,7 @@ def train(docs: DataFrame, size: int = SAMPLE) -> Hierarchy:
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         weights = machine(rows["text"].tolist(), rows["positive"].to_numpy(bool))
+        release()
         return pd.DataFrame({"one": rows["one"].iloc[:1], "other": rows["other"].iloc[:1],
                              "weights": [weights.astype("<f8").tobytes()]})
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlat.llm.support import broadcast_if_small, slices, written
-from streamlat.llm.vocabulary import encoding
+from streamlat.llm.support import SLICE_BYTES, broadcast_if_small, slices, written
+from streamlat.llm.vocabulary import PIECES as REMEMBERED, encoding
 
 CAPACITY = 4096
 
@@ -96,14 +96,15 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return runs
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, *, end_id: int, capacity: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str, *, end_id: int, capacity: int,
+               remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of all documents, with the task and the place among its pieces of that length."""
     def run(batches):
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        with encoding(vocabulary) as encode:
-            for rows in slices(batches):
+        with encoding(vocabulary, remembered) as encode:
+            for rows in slices(batches, size=slice_bytes):
                 yield _pieces(rows, encode, seen, task, end_id, capacity)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -140,15 +141,17 @@ def _pieces(rows, encode, seen, task, end_id, capacity) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 1, capacity: int = CAPACITY,
-         tokens: str = "ids") -> DataFrame:
+         tokens: str = "ids", remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, `tokens`, sequence_id, offset) of every piece.
 
     `ids` has the ids as little-endian integers, of 16 bits if the vocabulary allows it and
     of 32 bits otherwise; `ids_crc32` is their checksum as integers of 32 bits. A missing or empty text is its end id alone. Repeated rows are
-    packed each time; without documents there are no pieces.
+    packed each time; without documents there are no pieces. A worker remembers the ids of `remembered`
+    words and encodes `slice_bytes` of text at a time: less of either takes less memory and more time.
     """
     spark = docs.sparkSession
-    pieces = written(cut_pieces(docs, vocabulary, end_id=end_id, capacity=capacity), "pieces")
+    pieces = written(cut_pieces(docs, vocabulary, end_id=end_id, capacity=capacity, remembered=remembered,
+                                slice_bytes=slice_bytes), "pieces")
     each = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     # Rows: lengths times tasks. The window of a length has one row for each task.
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

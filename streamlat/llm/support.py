@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
@@ -71,7 +72,11 @@ def broadcast_if_small(df: DataFrame, bytes_per_row: int) -> DataFrame:
 
 
 def release() -> None:
-    """Give free memory back at the end of a task: its worker process goes on, beside others that need it."""
+    """Give free memory back at the end of a task: its worker process goes on, beside others that need it.
+
+    To be called when the frame that held the task's data is gone.
+    """
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(AttributeError, OSError):  # only where the C library is that of Linux
         ctypes.CDLL(None).malloc_trim(0)
@@ -110,13 +115,16 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataF
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
 
-    def run(batches):
+    def steps(batches):
         step, arrow = make(), to_arrow_schema(kind)
         for batch, texts in text_slices(batches):
             made = step(batch, texts)
             yield pa.RecordBatch.from_arrays(
                 [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type)
                  for f in arrow], schema=arrow)
+
+    def run(batches):
+        yield from steps(batches)
         release()
 
     return df.mapInArrow(run, kind)
@@ -135,7 +143,7 @@ def marked(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFram
     kind = _parse_datatype_string(schema)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
 
-    def run(batches):
+    def steps(batches):
         step, arrow = make(), to_arrow_schema(kind)
         for batch in batches:
             rows = batch.column(0)
@@ -149,6 +157,9 @@ def marked(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFram
                      *(x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type)
                        for f in arrow)], names=["row", *arrow.names])
                 at += part.num_rows
+
+    def run(batches):
+        yield from steps(batches)
         release()
 
     from pyspark.sql.types import StructType

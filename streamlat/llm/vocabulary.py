@@ -22,12 +22,10 @@ import pyarrow.compute as pc
 
 from streamlat.llm.support import release
 
-# Pieces that an encoder remembers, before it starts anew.
+# Pieces that an encoder remembers, before it starts anew; about 300 bytes each. Of these, three in ten stay for
+# the next task of the same worker process: the first met, mostly frequent ones.
 PIECES = 1_000_000
 
-# Of these, the ones that stay for the next task of the same worker process: the first met, mostly frequent ones.
-KEPT = 300_000
-
 # Pre-tokens that go to the library at a time; each comes back as an object of its own.
 CALL = 4096
 
@@ -98,6 +96,7 @@ class Encoder:
                                                              use_regex=False)
         self.line_end = len(self._ids("\n"))
         self.known: dict[str, bytes | None] = {}
+        self.most = PIECES
         self.plain = self._plain()
 
     def _ids(self, text: str) -> np.ndarray:
@@ -105,7 +104,7 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Ids of new pieces, or None for those that may be part of longer tokens."""
-        if len(self.known) > PIECES:
+        if len(self.known) > self.most:
             self.known.clear()
         texts = []
         for piece in new:
@@ -151,7 +150,7 @@ class Encoder:
         coded, n_pieces = cut(texts)
         pieces = coded.dictionary.to_pylist()
         new = [p for p in pieces if p not in self.known]
-        lost = len(self.known) > PIECES
+        lost = len(self.known) > self.most
         self._learn(pieces if lost else new)
         ids = [self.known[p] for p in pieces]
         unsure = np.array([x is None for x in ids], bool)
@@ -186,14 +185,15 @@ def _encoder(path: str) -> Encoder:
 
 
 @contextmanager
-def encoding(path: str) -> Iterator[Encoder]:
+def encoding(path: str, remembered: int = PIECES) -> Iterator[Encoder]:
     """The encoder of this worker process for one task, after which most of what it remembers goes."""
     encode = _encoder(path)
+    encode.most = remembered
     try:
         yield encode
     finally:
-        if len(encode.known) > KEPT:
-            encode.known = dict(islice(encode.known.items(), KEPT))
+        if len(encode.known) > remembered * 3 // 10:
+            encode.known = dict(islice(encode.known.items(), remembered * 3 // 10))
         release()
 
 

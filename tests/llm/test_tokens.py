@@ -192,3 +192,10 @@ def test_edges_of_packing(spark):
         for _, t in EDGES)
     check_packed(rows, 1000)
     assert packing.pack(edges(spark, []), queries.WORD_BPE).collect() == []
+
+
+def test_packing_with_little_memory_gives_the_same_rows(spark):
+    docs, path = read(spark, TABLES, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    plain = packing.cut_pieces(docs, path, end_id=1, capacity=512).drop("task", "place")
+    small = packing.cut_pieces(docs, path, end_id=1, capacity=512, remembered=50, slice_bytes=4096).drop("task", "place")
+    assert plain.exceptAll(small).count() == small.exceptAll(plain).count() == 0
