@@ -79,30 +79,62 @@ def count(spark, directory, vocabulary=BYTE_BPE):
     return counts.withColumn("over_limit", token_counts.over_limit(F.col("n_tokens")))
 
 
-@query("op5_perspectives", """
+def perspectives_sql(limit: int) -> str:
+    """The SQL for a given limit of `dialogue.perspectives`."""
+    return r"""
 WITH turns AS (
-    SELECT DISTINCT conv_id, coalesce(turn // 512, 0) AS segment, turn, coalesce(role, '') AS role,
-           coalesce(text, '') AS text
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           length(coalesce(role, '')) + length(coalesce(text, '')) + 4096 AS cost,
+           CAST(coalesce(floor(turn / 4096), 0) AS BIGINT) AS segment
     FROM conversations),
-speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
+sized AS (
+    SELECT conv_id, segment, turn, sum(cost) AS cost, sum(sum(cost)) OVER (PARTITION BY conv_id) AS total
+    FROM turns GROUP BY conv_id, segment, turn),
+places AS (
+    SELECT conv_id, segment, turn, CASE WHEN cost > $limit THEN (cost + $limit - 1) // $limit ELSE 0 END AS shares,
+           coalesce(sum(CASE WHEN cost > $limit THEN ((cost + $limit - 1) // $limit + 1) * $limit ELSE cost END) OVER (
+               PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // $limit AS part
+    FROM sized WHERE total > $limit),
 pieces AS (
-    SELECT t.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
-                              ELSE '<|user:' || role || '|>' END || chr(10) AS header,
-           chr(10) || '<|end|>' || chr(10) AS closing
-    FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+    SELECT t.conv_id, coalesce(p.segment, 0) AS segment, true AS here, t.turn, role, text,
+           CASE WHEN shares > 0 THEN part + 1 + (CAST('0x' || substr(md5(role || '|' || text), 1, 7) AS BIGINT)
+               + row_number() OVER (PARTITION BY t.conv_id, t.turn, role, text) - 1) % shares
+               ELSE coalesce(part, 0) END AS part
+    FROM turns t LEFT JOIN places p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.turn IS NOT DISTINCT FROM p.turn),
+firsts AS (
+    SELECT conv_id, turn, text FROM pieces WHERE role = 'system'
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text) = 1),
+holding AS (
+    SELECT p.conv_id, segment, part, any_value(f.turn) AS turn, any_value(f.text) AS text,
+           bool_or(role = 'system' AND p.turn IS NOT DISTINCT FROM f.turn AND p.text = f.text) AS held
+    FROM pieces p JOIN firsts f ON p.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY p.conv_id, segment, part),
+messages AS (
+    SELECT conv_id, segment, part, here, turn, role, text FROM pieces
+    UNION ALL SELECT conv_id, segment, part, false, turn, 'system', text FROM holding WHERE NOT held),
+speakers AS (SELECT DISTINCT conv_id, segment, part, role AS speaker FROM pieces WHERE role <> 'system'),
+marked AS (
+    SELECT m.*, speaker, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS said,
+           CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+                ELSE '<|user:' || regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g')
+                     || '|>' END || chr(10) AS header, chr(10) || '<|end|>' || chr(10) AS closing
+    FROM messages m JOIN speakers s ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.segment = s.segment AND m.part = s.part),
 placed AS (
     SELECT *, row_number() OVER w AS number,
-           sum(length(header) + length(text) + length(closing)) OVER w - length(text) - length(closing) AS begins
-    FROM pieces WINDOW w AS (PARTITION BY conv_id, segment, speaker ORDER BY turn NULLS FIRST, role, text
+           sum(length(header) + length(said) + length(closing)) OVER w - length(said) - length(closing) AS begins
+    FROM marked WINDOW w AS (PARTITION BY conv_id, segment, part, speaker ORDER BY here, turn NULLS FIRST, role, text
                              ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, CAST(segment AS BIGINT) AS segment, speaker, count(*) AS n_turns,
-       string_agg(header || text || closing, '' ORDER BY number) AS rendered,
-       coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(text) AS BIGINT), ',' ORDER BY number)
+SELECT conv_id, CAST(segment AS BIGINT) AS segment, CAST(part AS BIGINT) AS part, speaker,
+       count(*) FILTER (WHERE here) AS n_turns, string_agg(header || said || closing, '' ORDER BY number) AS rendered,
+       coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(said) AS BIGINT), ',' ORDER BY number)
                 FILTER (WHERE role = speaker), '') AS mask
-FROM placed GROUP BY conv_id, segment, speaker""")
+FROM placed GROUP BY conv_id, segment, part, speaker""".replace("$limit", str(limit))
+
+
+@query("op5_perspectives", perspectives_sql(dialogue.LIMIT))
 def rotate(spark, directory):
     made = dialogue.perspectives(read(spark, directory, "conversations"))
-    return made.select("conv_id", "segment", "speaker", "n_turns", "rendered",
+    return made.select("conv_id", "segment", "part", "speaker", "n_turns", "rendered",
                        dialogue.mask_text(F.col("mask")).alias("mask"))
 
 
