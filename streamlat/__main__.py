@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 import inspect
+from contextlib import nullcontext
 
 from streamlat.session import build_session
 from streamlat.streaming import jobs
+from streamlat.streaming.progress import reported
 
 JOBS = (jobs.record_latency_kafka, jobs.record_latency_port, jobs.parity_mean_kafka,
         jobs.parity_mean_port, jobs.throughput_kafka, jobs.measure_topic, jobs.measure_port)
@@ -20,6 +22,7 @@ def make_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="streamlat", description=__doc__)
     parser.add_argument("--master", help="Spark master, where spark-submit does not set it")
     parser.add_argument("--parallelism", type=int, help="shuffle partitions")
+    parser.add_argument("--progress", help="folder for a table of what the stream reports of each batch")
     commands = parser.add_subparsers(dest="job", required=True)
     for job in JOBS:
         command = commands.add_parser(job.__name__.replace("_", "-"), help=job.__doc__)
@@ -41,7 +44,9 @@ def main(argv: list[str] | None = None) -> None:
     job, run = options.pop("job"), options.pop("run")
     spark = build_session(f"streamlat {job}", master=options.pop("master"),
                           parallelism=options.pop("parallelism"))
-    run(spark, **options).awaitTermination()
+    progress = options.pop("progress")
+    with reported(spark, progress) if progress else nullcontext():
+        run(spark, **options).awaitTermination()
 
 
 if __name__ == "__main__":

@@ -58,3 +58,25 @@ def shared_dir(spark: SparkSession) -> str:
 def new_dir(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The folders in `path`, which need not be there, as `path/name`."""
+    files, target = file_system(spark, path)
+    if not files.exists(target):
+        return []
+    return sorted(f"{path}/{status.getPath().getName()}" for status in files.listStatus(target) if status.isDirectory())
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders with what is in them."""
+    for path in paths:
+        files, target = file_system(spark, path)
+        files.delete(target, True)

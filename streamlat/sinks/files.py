@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from streamlat.operators.parity import share
 from streamlat.operators.records import judged_lines
+from streamlat.session import remove, subfolders
 
 
 def to_text_log(results: DataFrame, path: str, column: str = "result") -> DataStreamWriter:
@@ -24,27 +25,77 @@ def to_table(results: DataFrame, path: str) -> DataStreamWriter:
     return results.writeStream.outputMode("append").format("parquet").option("path", path)
 
 
-def to_window_table(results: DataFrame, path: str) -> DataStreamWriter:
+def _changes(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*folders)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders of changes, one for each run and batch."""
+    return [batch for run in subfolders(spark, path) if "/run=" in run for batch in subfolders(spark, run)]
+
+
+def _last(changes: DataFrame, key: tuple[str, ...], versions: bool = False) -> DataFrame:
+    """The newest row of each window, column by column, so that columns nobody reads are dropped."""
+    version = (F.col("run").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)")
+               + F.col("batch_id").cast("decimal(12,0)"))
+    values = [name for name in changes.columns if name not in key and (versions or name not in ("run", "batch_id"))]
+    return (changes.withColumn("version", version).groupBy(*key)
+            .agg(*[F.max_by(name, "version").alias(name) for name in values]))
+
+
+def to_window_table(results: DataFrame, path: str, *, key: tuple[str, ...] = ("window_start_ms", "parity"),
+                    every: int = 100, width_ms: int | None = None, lateness_ms: int = 0) -> DataStreamWriter:
     """Write every window that changed, batch by batch, without waiting for it to close.
 
     A batch that is run again writes over its own folder, or counts as newer if the job was
     started again. A job with a new checkpoint counts anew; its windows take the place of
     those of earlier runs. Read with `latest_windows`.
+
+    Each `every` batches the folders so far become one. With `width_ms`, windows that ended `lateness_ms`
+    before the start of the newest one move into one table that is only appended to, so that what is put
+    together each time does not grow with the age of the job; a later change of such a window still counts.
+    Folders that were put together go one such step later, so a reader has as long to finish.
     """
     run = time.time_ns()
+    superseded: list[str] = []
+
+    def put_together(batch: DataFrame, batch_id: int, older: list[str], folder: str) -> None:
+        spark = batch.sparkSession
+        now = batch.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("long")})
+        before = _changes(spark, path, older).withColumns({n: F.col(n).cast("long") for n in ("run", "batch_id")})
+        last = share(_last(before.unionByName(now), key, versions=True))
+        try:
+            closed = F.lit(False)
+            if width_ms is not None:
+                newest = last.agg(F.max("window_start_ms")).first()[0]
+                if newest is not None:
+                    closed = F.col("window_start_ms") <= newest - width_ms - lateness_ms
+            last.where(closed).write.mode("append").parquet(f"{path}/closed")
+            last.where(~closed).drop("run", "batch_id").write.mode("overwrite").parquet(folder)
+        finally:
+            last.unpersist()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        folder = f"{path}/run={run}/batch_id={batch_id}"
+        older = _folders(spark, path) if batch_id % every == 0 else []
+        if not older:
+            batch.write.mode("overwrite").parquet(folder)
+            return
+        remove(spark, superseded)
+        older = [f for f in older if f not in superseded]
+        put_together(batch, batch_id, older, folder)
+        superseded[:] = older
 
     return results.writeStream.outputMode("update").foreachBatch(write)
 
 
 def latest_windows(spark: SparkSession, path: str, *key: str) -> DataFrame:
     """The last state of each window in a table written by `to_window_table`."""
-    changes = spark.read.parquet(path)
-    values = [name for name in changes.columns if name not in (*key, "run", "batch_id")]
-    last = F.max_by(F.struct(*values), F.struct("run", "batch_id")).alias("last")
-    return changes.groupBy(*key).agg(last).select(*key, "last.*")
+    changes = _changes(spark, path, [f"{path}/run=*"])
+    if f"{path}/closed" in subfolders(spark, path):
+        changes = changes.unionByName(spark.read.parquet(f"{path}/closed"))
+    return _last(changes, key)
 
 
 def to_console(results: DataFrame, rows: int = 20) -> DataStreamWriter:

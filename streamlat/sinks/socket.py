@@ -8,10 +8,13 @@ from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from streamlat.session import subfolders
+
 # Where results are received.
 RESULT_HOST = "localhost"
 RESULT_PORT = 9998
@@ -45,13 +48,40 @@ def send(batches: Iterator[pa.RecordBatch], host: str, port: int,
 
 
 def to_socket(results: DataFrame, host: str = RESULT_HOST, port: int = RESULT_PORT,
-              connector: Callable[[str, int], BinaryIO] = connect) -> DataStreamWriter:
+              connector: Callable[[str, int], BinaryIO] = connect, ledger: str | None = None) -> DataStreamWriter:
     """Send `result` to a TCP server, a write for each Arrow batch.
 
-    A retried task sends its rows again, and rows sent before a failure stay sent.
+    A retried task sends its rows again, and rows sent before a failure stay sent. With `ledger`, a folder
+    that belongs to the checkpoint, each partition that was sent whole is noted there when its task ends, and
+    a batch that is run again sends the others only. What remains possible: a task that is lost between its
+    last row and its note, or within its rows, sends them twice. Partitions are told apart by their numbers,
+    so the rows must be dealt out alike when a batch is run again, as those of files and topics are.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        sent = batch.mapInArrow(lambda batches: send(batches, host, port, connector), "sent long")
-        sent.agg(F.sum("sent")).collect()
+        if ledger is None:
+            sent = batch.mapInArrow(lambda batches: send(batches, host, port, connector), "sent long")
+            sent.agg(F.sum("sent")).collect()
+            return
+        folder = f"{ledger}/batch_id={batch_id}"
+        done = noted(batch.sparkSession, ledger, folder)
+
+        def send_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            partition = TaskContext.get().partitionId()
+            if partition not in done:
+                # The connection is closed, and with it all rows are flushed, before the note.
+                n = sum(part.column(0)[0].as_py() for part in send(batches, host, port, connector))
+                yield pa.RecordBatch.from_pydict({"partition": [partition], "sent": [n]})
+
+        # With this version of the committer a task's note stays when other tasks of the batch fail.
+        (batch.mapInArrow(send_once, "partition long, sent long").write.mode("append")
+         .option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder))
 
     return results.select("result").writeStream.outputMode("append").foreachBatch(write)
+
+
+def noted(spark: SparkSession, ledger: str, folder: str) -> frozenset[int]:
+    """Partitions of a batch that were sent, a number for each."""
+    if folder not in subfolders(spark, ledger):
+        return frozenset()
+    notes = spark.read.schema("partition long, sent long").parquet(folder)
+    return frozenset(r.partition for r in notes.collect())

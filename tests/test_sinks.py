@@ -91,6 +91,53 @@ def test_stream_to_socket(spark, lines, tmp_path):
     assert sorted(sent) == ["1 100 500 400", "2 200 500 300", "3 300 500 200"]
 
 
+class FailingConnector(FolderConnector):
+    """Fails for one line, for as long as a file named `fail` is there."""
+
+    def __call__(self, host, port):
+        class Stream(io.FileIO):
+            def write(stream, data):
+                if b"2 200" in data and os.path.exists(f"{self.folder}/../fail"):
+                    raise ConnectionError("gone")
+                return super().write(data)
+        return Stream(f"{self.folder}/{os.urandom(8).hex()}", "wb")
+
+
+def received_lines(folder):
+    return sorted(line for f in folder.iterdir() for line in f.read_text().splitlines())
+
+
+def test_a_batch_run_twice_sends_what_was_not_sent(spark, tmp_path):
+    source, received = tmp_path / "in", tmp_path / "received"
+    source.mkdir(), received.mkdir()
+    for i in (1, 2, 3):
+        (source / f"{i}.txt").write_text(f"{i} {i}00\n")
+    (tmp_path / "fail").write_text("")
+
+    def run(checkpoint, ledger):
+        results = record_latency(text_lines(spark, str(source), streaming=True), now=fixed(500))
+        # A partition for each file.
+        before = spark.conf.get("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+        try:
+            replay(spark, to_socket(results, connector=FailingConnector(str(received)), ledger=ledger),
+                   checkpoint=checkpoint)
+        finally:
+            spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+    first, second, ledger = (str(tmp_path / name) for name in ("first", "second", "ledger"))
+    with pytest.raises(Exception, match="gone"):
+        run(first, ledger)
+    (tmp_path / "fail").unlink()
+    want = ["1 100 500 400", "2 200 500 300", "3 300 500 200"]
+    assert set(received_lines(received)) <= {want[0], want[2]}
+    run(first, ledger)
+    assert received_lines(received) == want
+    # A new checkpoint with the same ledger stands for a batch that was sent and not committed.
+    run(second, ledger)
+    assert received_lines(received) == want
+
+
 def test_stream_to_text_log(spark, lines, tmp_path):
     lines("1 100").write.text(str(tmp_path / "in"))
     stream = record_latency(text_lines(spark, str(tmp_path / "in"), streaming=True))

@@ -114,6 +114,38 @@ def test_a_batch_run_again_counts_once(spark, tmp_path):
     assert rows(files.latest_windows(spark, path, *KEY)) == [(0, "even", 2), (0, "odd", 3)]
 
 
+def test_window_table_is_put_together(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    n = 17
+    for i in range(n):
+        # A record late by far more than the windows wait goes to the first window at the end.
+        lines = [f"{i} {i * 1000}", f"{i + 1} {i * 1000 + 1}"] + ["5 10"] * (i == n - 1)
+        (folder / f"{i:02}.txt").write_text("\n".join(lines) + "\n")
+        os.utime(folder / f"{i:02}.txt", (1_600_000_000 + i, 1_600_000_000 + i))
+    out, checkpoint = str(tmp_path / "windows"), str(tmp_path / "checkpoint")
+    folders = []
+
+    def run(every):
+        stream = parity_mean(text_lines(spark, str(folder), streaming=True, max_files_per_trigger=1), now=clock.fixed(0))
+        replay(spark, files.to_window_table(stream, out, every=every, width_ms=2000, lateness_ms=2000),
+               checkpoint=checkpoint, state_partitions=2)
+        folders.append(len([1 for run in os.scandir(out) if run.name.startswith("run=")
+                            for batch in os.scandir(run.path) if batch.is_dir()]))
+
+    run(3)
+    assert folders[-1] <= 2 * 3 + 1
+    (folder / "z.txt").write_text("7 20\n8 100000\n")
+    run(1)
+    assert folders[-1] <= 2 * 3 + 2
+    want = parity_mean(text_lines(spark, str(folder)), now=clock.fixed(0))
+    got = files.latest_windows(spark, out, *KEY)
+    assert rows(got.select(want.columns)) == rows(want)
+    assert spark.read.parquet(f"{out}/closed").count() > 10
+    plan = got.select("window_start_ms", "n", "sum_seq", "sum_created_ms")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_several_writers_see_the_same_batch(spark, pieces, tmp_path):
     def to(name):
         return lambda batch, batch_id: batch.write.mode("overwrite").parquet(
