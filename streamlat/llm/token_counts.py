@@ -17,19 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamlat.llm.support import slices
-from streamlat.llm.vocabulary import BYTE_PATTERN, PIECES, cut, sure
+from streamlat.llm.vocabulary import BYTE_PATTERN, PIECES, byte_letters, cut, sure
 
 # Symbols merged at a time.
 SYMBOLS = 1 << 20
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in the file: itself if printable, else one above 255."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Merger:
     """Number of tokens of byte strings under the merges of a byte-level vocabulary file."""
 

@@ -46,6 +46,29 @@ def test_encoder_gives_the_ids_of_the_library(name):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_pieces_of_a_batch_are_cut_together(name):
+    encoder, calls = Encoder(public_tokenizers.path(name)), []
+    find = encoder.find
+    encoder.find = lambda text: calls.append(text) or find(text)
+    made = [" ".join(f"w{i}x{k},\nÉ{k}" for k in range(100)) for i in range(50)]
+    ids, counts = encoder(pa.array(made))
+    want = [e.ids for e in library(name).encode_batch(made, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(calls) <= 2
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_that_are_kept_keep_their_ids(name):
+    encoder, texts = Encoder(public_tokenizers.path(name)), odd_texts(300)
+    want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    for most in (1000, 7, 0):
+        ids, counts = encoder(pa.array(texts))
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        encoder.keep(most)
+        assert len(encoder.known) <= most and len(encoder.values) == encoder.ends[-1]
+
+
 def test_counter_counts_what_the_library_gives():
     texts = odd_texts()
     got = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))(pa.array([*texts, None]))
