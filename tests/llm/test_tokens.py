@@ -58,6 +58,25 @@ def test_new_pieces_of_a_batch_are_cut_together(name):
     assert len(calls) <= 2
 
 
+def test_new_words_of_a_batch_are_normalized_together():
+    name, calls = "word_bpe_49k.json", []
+    encoder = Encoder(public_tokenizers.path(name))
+    normalizer = encoder.normalizer
+
+    class Counted:
+        def normalize_str(self, text):
+            calls.append(text)
+            return normalizer.normalize_str(text)
+
+    encoder.normalizer = Counted()
+    made = [" ".join(f"É{i}x{k}Σ," for k in range(100)) + "  a\tb <|endoftext|>c " for i in range(50)]
+    ids, counts = encoder(pa.array(made))
+    want = [e.ids for e in library(name).encode_batch(made, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    # One for all words, one each for the empty piece and for the one with a tab.
+    assert len(calls) <= 3
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_that_are_kept_keep_their_ids(name):
     encoder, texts = Encoder(public_tokenizers.path(name)), odd_texts(300)
