@@ -72,16 +72,14 @@ def cut(rows: DataFrame, limit: int) -> DataFrame:
     return pieces.unionByName(carried)
 
 
-def pieces(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
+def pieces(turns: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     """(conv_id, segment, part, messages): messages in the order of turn, role and text.
 
     A dialogue that costs at most `limit` (its characters, and 4,096 a message) is one piece. A longer one
     goes in segments of 4,096 turn numbers, and these in parts of at most twice the limit, a longer message
-    aside.
+    aside. With None for the limit each dialogue is one piece.
     """
     rows = prepared(turns)
-    total = rows.groupBy(F.col("conv_id").alias("id")).agg(F.sum("cost").alias("cost"))
-    longer = written(total.where(F.col("cost") > limit).select("id"), "long_dialogues")
     message = F.struct("here", "turn", "role", "text")
     zero = F.lit(0).cast("long")
 
@@ -92,6 +90,10 @@ def pieces(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
     def whole(rows: DataFrame) -> DataFrame:
         return gathered(rows.withColumns({"segment": zero, "part": zero, "here": F.lit(True)}))
 
+    if limit is None:
+        return whole(rows)
+    total = rows.groupBy(F.col("conv_id").alias("id")).agg(F.sum("cost").alias("cost"))
+    longer = written(total.where(F.col("cost") > limit).select("id"), "long_dialogues")
     if longer.isEmpty():
         return whole(rows)
     ids = broadcast_if_small(longer, 16)
@@ -117,15 +119,17 @@ def header(role: Column, name: Column, speaker: Column) -> Column:
 END = "\n<|end|>\n"
 
 
-def perspectives(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
+def perspectives(turns: DataFrame, limit: int | None = LIMIT) -> DataFrame:
     """One row for each piece of a dialogue and participant who speaks in it.
 
     conv_id, segment, part, speaker, n_turns (messages of the piece); messages with role, name, content
     and train; rendered, the piece as text; and mask, the parts of it to train on, from start to before end
-    in characters. A dialogue of up to 32 million characters is one piece, 0 and 0; a longer one goes in
-    several, each with the dialogue's first system message, and a participant who says nothing in a piece
-    would have nothing to train on there. A system message is nobody's turn, so a dialogue of nothing else has
-    no row. A missing role is a participant without a name, a missing text is empty, a missing turn comes first.
+    in characters. A dialogue of up to 32 million characters, of which each message counts 4,096 more than it
+    has, is one piece, 0 and 0; a longer one goes in several, each with the dialogue's first system message,
+    and a participant who says nothing in a piece would have nothing to train on there. With None for the
+    limit the rows have this form at any length: a dialogue is one piece, and a task has to hold it. A system
+    message is nobody's turn, so a dialogue of nothing else has no row. A missing role is a participant without
+    a name, a missing text is empty, a missing turn comes first.
     Turns of one number are in the order of role and text, equal rows are as many messages. Dialogues
     without id are one dialogue. Markers within names and texts are escaped in `rendered`.
     """

@@ -141,6 +141,21 @@ def test_forged_markers_stay_text(spark):
     assert re.sub(r"<\\(\\*)\|", r"<\1|", said) == forged
 
 
+def test_without_a_limit_a_dialogue_has_one_form_at_any_length(spark):
+    turns = [(1, 0, "system", "be kind")] + [(1, i, "ab"[i % 2], f"says {i}") for i in range(1, 9000)]
+    turns += [(None, None, "a", "x")] * 20 + [(2, 0, "b", "y")]
+    table = spark.createDataFrame(turns, SCHEMA)
+    sizes = (dialogue.pieces(table, None).select("conv_id", "segment", "part", F.size("messages").alias("n"))
+             .orderBy("conv_id").collect())
+    assert [tuple(r) for r in sizes] == [(None, 0, 0, 20), (1, 0, 0, 9000), (2, 0, 0, 1)]
+    # By the default, which the SQL has, the first of these goes in segments of 4,096 turn numbers.
+    assert dialogue.pieces(table).where("conv_id = 1").count() == 3
+    short = table.where("turn < 30 OR turn IS NULL")
+    whole, same = dialogue.perspectives(short, None).collect(), dialogue.perspectives(short).collect()
+    assert sorted(map(repr, whole)) == sorted(map(repr, same))
+    assert len(whole) < dialogue.perspectives(short, 20_000).count()
+
+
 def test_long_and_crowded_dialogues_equal_their_sql(spark):
     choose = random.Random(5)
     words = ["", "hm", "<|end|>", "a longer answer " * 20, "🙂", None]
